@@ -5,15 +5,17 @@ from __future__ import annotations
 from .bpe_count import op4_token_counts
 from .decontaminate import op10_decontaminate
 from .langid import op3_language_id
+from .neardup import op2_near_duplicates
 from .packing import op9_best_fit_packing
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op8_toxicity
+from .warc import OP7_SQL, op7_warc
 
 
 def queries():
-    found = [op1_exact_top_k, op3_language_id, op4_token_counts, op8_toxicity, op9_best_fit_packing, op10_decontaminate]
+    found = [op1_exact_top_k, op2_near_duplicates, op3_language_id, op4_token_counts, op7_warc, op8_toxicity, op9_best_fit_packing, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_exact_top_k": OP1_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op7_warc": OP7_SQL}
