@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from .bpe_count import op4_token_counts
+from .bytedup import op6_byte_dedup
 from .decontaminate import op10_decontaminate
 from .langid import op3_language_id
 from .neardup import op2_near_duplicates
 from .packing import op9_best_fit_packing
+from .recompress import op5_substring_dedup
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op8_toxicity
 from .warc import OP7_SQL, op7_warc
 
 
 def queries():
-    found = [op1_exact_top_k, op2_near_duplicates, op3_language_id, op4_token_counts, op7_warc, op8_toxicity, op9_best_fit_packing, op10_decontaminate]
+    found = [op1_exact_top_k, op2_near_duplicates, op3_language_id, op4_token_counts, op5_substring_dedup, op6_byte_dedup, op7_warc, op8_toxicity, op9_best_fit_packing, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 

@@ -1,90 +1,254 @@
-"""Long repeats, exactly, for sequences cut into anchored occurrences.
+"""Long repeats, exactly: what the two substring operators share.
 
-Shared by the substring operators. A document is a sequence of symbols (words or bytes); a window is WIDTH consecutive
-symbols, and a window is repeated if an equal one starts anywhere else. An operator's `occurrences` function groups the
-windows of a document under anchors chosen from the windows' own content, so that equal windows have equal anchors at
-equal places: each occurrence is (first window, number of windows, core key, full key), where the core lies inside all
-its windows and the full extent is their union. Then, in Spark:
+A document is a sequence of symbols (words or bytes). A window is `width` consecutive symbols; it is repeated if an equal
+one starts anywhere else. A cutter chooses for each window an anchor from the window's own content, so equal windows have
+equal anchors at equal places. Neighbouring windows with one anchor are an occurrence: its core lies inside each of
+its windows, its full extent is their union. Then, in Spark:
 
-1. cores that occur once hold no repeated window;
-2. a full extent that occurs twice makes all its windows repeated;
-3. what is left (a shared core with differing extents: ends of repeats and edits) is refined: the windows of each
-   distinct extent are halved again and again, each half with its own core and extent key, until they are decided.
+1. A core that occurs once holds no repeated window. Each task sends its cores packed, by hash bucket; a core that it holds
+   several times is known to be shared, so it sends one marker and the occurrences go past the buckets: a passage that a
+   third of all documents hold is one entry a task.
+2. A full extent that occurs twice makes all its windows repeated.
+3. One occurrence of each distinct extent of a shared core (ends of repeats, edits) is compared with the others of its
+   core, window by window; a core with more than GROUP distinct extents is compared by rows of single windows.
+4. The runs of repeated windows of each document are joined back to its text.
 
-Each occurrence is a row of a few numbers; equal rows of one task are pre-counted, so that a passage that a third of
-all documents hold is a few rows a task. Keys are 64-bit hashes of content and place.
+Keys are 64-bit content hashes. A document is named by the hash of its id and text: rows that repeat both share their runs.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import PrefixHash, as_bytes, discard, mix, stash
+
+#: Extents of one core that a task compares at once.
+GROUP = 2048
+#: Runs beyond this size are joined by shuffle, not broadcast.
+BROADCAST_BYTES = 4 << 20
+
+_KIND = np.dtype([("core", "u8"), ("full", "u8"), ("doc", "i8"), ("at", "i4"), ("n", "i4"), ("anchor", "i4"), ("many", "i4")])
+_OCC = "doc long, at int, n int, anchor int, core long, full long"
+
+
+class Cutter:
+    """What an operator gives: symbols of a text, and anchors of a row of concatenated documents."""
+
+    width: int
+    symbols_at_once: int
+
+    def symbols(self, text: bytes | None) -> np.ndarray:  # uint64
+        raise NotImplementedError
+
+    def anchors(self, sym: np.ndarray, ph: PrefixHash, starts: np.ndarray, windows: np.ndarray):
+        """For each window start: (core start, core end); for windows without anchor the window itself."""
+        raise NotImplementedError
+
+
+def extent(ph: PrefixHash, at, n, anchor, width):
+    return mix(ph.range(at, at + n - 1 + width) ^ mix((anchor - at).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
+
+
+def cut(cutter: Cutter, docs: list[int], syms: list[np.ndarray]) -> np.ndarray:
+    """The occurrences of some documents."""
+    w = cutter.width
+    sizes = np.array([len(s) for s in syms])
+    keep = sizes >= w
+    docs, sizes = np.array(docs, np.int64)[keep], sizes[keep]
+    if not len(docs):
+        return np.zeros(0, _KIND)
+    sym = np.concatenate([s for s, k in zip(syms, keep) if k])
+    ph = PrefixHash(sym)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    windows = np.repeat(starts, sizes - w + 1) + np.arange((sizes - w + 1).sum()) - np.repeat(np.concatenate([[0], np.cumsum(sizes - w + 1)[:-1]]), sizes - w + 1)
+    a, z = cutter.anchors(sym, ph, starts, windows)
+    new = np.ones(len(windows), bool)
+    new[1:] = (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (windows[1:] != windows[:-1] + 1)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(windows)))
+    at, a, z = windows[first], a[first], z[first]
+    d = np.searchsorted(starts, at, "right") - 1
+    out = np.zeros(len(first), _KIND)
+    out["core"], out["full"] = ph.range(a, z), extent(ph, at, n, a, w)
+    out["doc"], out["at"], out["n"], out["anchor"] = docs[d], at - starts[d], n, a - starts[d]
+    return out
 
-OCC = "doc long, at int, n int, core long, full long"
 
+def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
+    """docs (doc, text) -> the occurrences whose core occurs anywhere else."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
 
-def occurrence_rows(found):
-    """Occurrence arrays (doc, at, n, core, full) -> an Arrow batch."""
-    doc, at, n, core, full = found
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(core.view(np.int64)), pa.array(full.view(np.int64))], names=["doc", "at", "n", "core", "full"])
+    def emit(batches):
+        def out(ids, syms):
+            occ = cut(cutter, ids, syms)
+            if not len(occ):
+                return
+            occ = occ[np.argsort(occ["core"], kind="stable")]
+            edge = np.flatnonzero(np.concatenate([[True], occ["core"][1:] != occ["core"][:-1]]))
+            times = np.diff(np.append(edge, len(occ)))
+            here = np.repeat(times > 1, times)
+            local, sent = occ[here], occ[edge]
+            sent["many"] = times > 1
+            bucket = (mix(sent["core"]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sent, bucket = sent[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(cuts[1:], len(sent))
+            b = bucket[cuts].tolist()
+            packed = [sent[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist())]
+            for i in range(0, len(local), 4096):
+                b.append(int(local["core"][i] % np.uint64(parts)))
+                packed.append(local[i : i + 4096].tobytes())
+            kind = [True] * len(cuts) + [False] * (len(b) - len(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind), pa.array(packed, pa.binary())], names=["bucket", "asks", "packed"])
 
+        ids, syms, size = [], [], 0
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                s = cutter.symbols(t)
+                if len(s) < cutter.width:
+                    continue
+                ids.append(d)
+                syms.append(s)
+                size += len(s)
+                if size >= cutter.symbols_at_once:
+                    yield from out(ids, syms)
+                    ids, syms, size = [], [], 0
+        if ids:
+            yield from out(ids, syms)
 
-def decide(occ: DataFrame, label: str):
-    """Splits occurrences into repeated ones (doc, at, n) and ones to refine (doc, at, n)."""
-    pairs = occ.groupBy("core", "full").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at", "n")).alias("one"))
-    pairs = stash(pairs, label)
-    cores = pairs.groupBy("core").agg(F.sum("times").alias("all"), F.count("*").alias("kinds")).filter("all > 1")
-    # every distinct extent of a shared core: what is known of it
-    known = pairs.join(cores, "core").select("core", "full", "times", "kinds", "one")
-    return pairs, stash(known, label + "-shared")
+    def rows(occ):
+        for i in range(0, len(occ), 100_000):
+            o = occ[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(o[c]) for c in ("doc", "at", "n", "anchor")] + [pa.array(o[c].view(np.int64)) for c in ("core", "full")], names=["doc", "at", "n", "anchor", "core", "full"])
+
+    def answer(batches):
+        asked = []
+        for b in batches:
+            for asks, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                occ = np.frombuffer(packed, _KIND)
+                if asks:
+                    asked.append(occ)
+                else:
+                    yield from rows(occ.copy())
+        if asked:
+            occ = np.concatenate(asked)
+            asked.clear()
+            order = np.argsort(occ["core"], kind="stable")
+            core = occ["core"][order]
+            edge = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
+            times = np.diff(np.append(edge, len(core)))
+            occ = occ[order[np.repeat(times > 1, times)]]
+            yield from rows(occ[occ["many"] == 0])  # markers have gone past the buckets already
+
+    sent = docs.mapInArrow(emit, "bucket long, asks boolean, packed binary")
+    return stash(sent.repartition(parts, "bucket").mapInArrow(answer, _OCC), label + "-shared")
 
 
-def repeated_windows(occ: DataFrame, docs: DataFrame, refine, label: str) -> DataFrame:
-    """(doc, at, n) runs of repeated windows. occ: OCC rows; docs: (doc, text); refine(text bytes, [(at, n)]) gives
-    the occurrence arrays (at, n, core, full) of the halves of given runs, single windows having core = full."""
-    out, level = None, 0
-    while True:
-        pairs, known = decide(occ, f"{label}-{level}")
-        sure = occ.join(known.filter("times > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc", "at", "n")
-        sure = stash(sure, f"{label}-sure")
-        discard(pairs)
-        out = sure if out is None else out.union(sure)
-        # A row for each distinct extent of a shared core with several extents; single windows are decided.
-        todo = known.filter("kinds > 1 AND one.n > 1").select("full", "times", "core")
-        todo = occ.join(todo, ["core", "full"]).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-        todo = stash(todo, f"{label}-todo")
-        if todo.isEmpty():
-            return out
-        occ = stash(docs.join(todo, "doc").select("doc", "text", "runs").mapInArrow(halves(refine), OCC), f"{label}-occ")
-        level += 1
+def joined(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """docs join runs on doc: runs are broadcast only if they are measured to be small."""
+    path = runs._stash_path
+    p = docs.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return docs.join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, "doc", how)
 
 
-def halves(refine):
-    def run(batches):
-        from .common import as_bytes
+def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
+    """docs (doc, text) -> (doc, runs array<struct<at,n>>): the repeated windows of each document that has any."""
+    w = cutter.width
+    occ = shared_occurrences(docs, cutter, label)
+    kinds = stash(occ.groupBy("core", "full").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at", "n", "anchor")).alias("one")), label + "-extents")
+    sure = occ.join(kinds.filter("times > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc", "at", "n")
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    todo = kinds.join(cores, "core").select("core", "kinds", "one.*")
+    todo = stash(todo.groupBy("doc").agg(F.collect_list(F.struct("core", "kinds", "at", "n", "anchor")).alias("todo")), label + "-todo")
 
+    def contexts(batches):
         for b in batches:
-            docs = b.column(0).to_pylist()
-            for d, t, runs in zip(docs, as_bytes(b.column(1)), b.column(2).to_pylist()):
-                at, n, core, full = refine(t, sorted((r["at"], r["n"]) for r in runs))
-                if len(at):
-                    yield occurrence_rows((np.full(len(at), d, np.int64), at, n, core, full))
+            out = [[] for _ in range(7)]
+            for d, t, runs in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
+                s = cutter.symbols(t)
+                for r in runs:
+                    part = s[r["at"] : r["at"] + r["n"] - 1 + w]
+                    for c, v in zip(out, (r["core"], r["kinds"], d, r["at"], r["n"], r["anchor"], cutter.pack(part))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["core", "kinds", "doc", "at", "n", "anchor", "context"])
+
+    found = joined(docs, todo, "inner").select("doc", "text", "todo").mapInArrow(contexts, "core long, kinds long, doc long, at int, n int, anchor int, context binary")
+    found = stash(found, label + "-contexts")
+
+    def windows(group):
+        """(row, window start, hash of window and its place) of all windows of some rows (doc, at, n, anchor, context)."""
+        syms = [cutter.unpack(r[4]) for r in group]
+        sizes = np.array([len(s) for s in syms])
+        ph = PrefixHash(np.concatenate(syms))
+        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n = np.array([r[2] for r in group])
+        row = np.repeat(np.arange(len(group)), n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lo = base[row] + j
+        at = np.array([r[1] for r in group])[row] + j
+        place = np.array([r[3] for r in group])[row] - at
+        return row, at, mix(ph.range(lo, lo + w) ^ mix(place.astype(np.uint64) + np.uint64(11)))
+
+    def runs_of(doc, at):
+        if not len(at):
+            return
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+        n = np.diff(np.append(new, len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(at[new], pa.int32()), pa.array(n, pa.int32())], names=["doc", "at", "n"])
 
-    return run
+    def compare(batches):
+        group, symbols = [], 0
 
+        def out():
+            row, at, key = windows(group)
+            # Windows are compared within a core; its hash is part of the key.
+            key = mix(key ^ np.array([r[5] for r in group], np.int64).view(np.uint64)[row])
+            order = np.argsort(key, kind="stable")
+            k = key[order]
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            times = np.diff(np.append(edge, len(k)))
+            hit = order[np.repeat(times > 1, times)]
+            yield from runs_of(np.array([r[0] for r in group], np.int64)[row[hit]], at[hit])
 
-def split_runs(runs):
-    """Halves of (at, n) runs."""
-    a = np.array(runs, np.int64).reshape(-1, 2)
-    at, n = a[:, 0], a[:, 1]
-    left = (n + 1) // 2
-    return np.concatenate([at, at + left]), np.concatenate([left, n - left])
+        now = None
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if r[5] != now:  # whole cores only
+                    if symbols > 200_000:
+                        yield from out()
+                        group, symbols = [], 0
+                    now = r[5]
+                group.append(r)
+                symbols += r[2] + w
+        if group:
+            yield from out()
+
+    def single(batches):
+        for b in batches:
+            group = list(zip(*(b.column(i).to_pylist() for i in range(6))))
+            for i in range(0, len(group), 1000):
+                part = group[i : i + 1000]
+                row, at, key = windows(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in part], np.int64)[row]), pa.array(at, pa.int32()), pa.array(key.view(np.int64))], names=["doc", "at", "key"])
+
+    cols = ["doc", "at", "n", "anchor", "context", "core"]
+    few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition("core").sortWithinPartitions("core").mapInArrow(compare, "doc long, at int, n int")
+    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(single, "doc long, at int, key long")
+    again = many.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    many = many.join(again, "key", "left_semi").select("doc", "at", F.lit(1).alias("n"))
+    runs = sure.union(few).union(many).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    runs = stash(runs, label + "-runs")
+    for x in (occ, kinds, todo, found):
+        discard(x)
+    return runs
 
 
 def covered(n: int, width: int, runs) -> np.ndarray:
@@ -94,3 +258,11 @@ def covered(n: int, width: int, runs) -> np.ndarray:
         d[r["at"]] += 1
         d[min(n, r["at"] + r["n"] - 1 + width)] -= 1
     return np.cumsum(d[:-1]) > 0
+
+
+def with_runs(docs: DataFrame, cutter: Cutter, label: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs plus __runs (null where nothing repeats)."""
+    name = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    runs = repeated_runs(docs.filter(F.col(text).isNotNull()).select(name.alias("doc"), F.col(text).alias("text")), cutter, label)
+    whole = docs.select(name.alias("doc"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return joined(whole, runs, "left").select("row.*", F.col("runs").alias("__runs"))
