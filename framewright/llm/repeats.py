@@ -27,8 +27,6 @@ from .common import PrefixHash, as_bytes, discard, mix, stash
 
 #: Extents of one core that a task compares at once.
 GROUP = 2048
-#: Runs beyond this size are joined by shuffle, not broadcast.
-BROADCAST_BYTES = 4 << 20
 
 _KIND = np.dtype([("core", "u8"), ("full", "u8"), ("doc", "i8"), ("at", "i4"), ("n", "i4"), ("anchor", "i4"), ("many", "i4")])
 _OCC = "doc long, at int, n int, anchor int, core long, full long"
@@ -149,14 +147,6 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
     return stash(sent.repartition(parts, "bucket").mapInArrow(answer, _OCC), label + "-shared")
 
 
-def joined(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    """docs join runs on doc: runs are broadcast only if they are measured to be small."""
-    path = runs._stash_path
-    p = docs.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return docs.join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, "doc", how)
-
-
 def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
     """docs (doc, text) -> (doc, runs array<struct<at,n>>): the repeated windows of each document that has any."""
     w = cutter.width
@@ -178,7 +168,7 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["core", "kinds", "doc", "at", "n", "anchor", "context"])
 
-    found = joined(docs, todo, "inner").select("doc", "text", "todo").mapInArrow(contexts, "core long, kinds long, doc long, at int, n int, anchor int, context binary")
+    found = docs.join(todo, "doc").select("doc", "text", "todo").mapInArrow(contexts, "core long, kinds long, doc long, at int, n int, anchor int, context binary")
     found = stash(found, label + "-contexts")
 
     def windows(group):
@@ -265,4 +255,4 @@ def with_runs(docs: DataFrame, cutter: Cutter, label: str, text: str = "text", k
     name = F.xxhash64(F.col(key).cast("string"), F.col(text))
     runs = repeated_runs(docs.filter(F.col(text).isNotNull()).select(name.alias("doc"), F.col(text).alias("text")), cutter, label)
     whole = docs.select(name.alias("doc"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return joined(whole, runs, "left").select("row.*", F.col("runs").alias("__runs"))
+    return whole.join(runs, "doc", "left").select("row.*", F.col("runs").alias("__runs"))
