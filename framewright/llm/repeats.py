@@ -227,13 +227,21 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
             for i in range(0, len(group), 1000):
                 part = group[i : i + 1000]
                 row, at, key = windows(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in part], np.int64)[row]), pa.array(at, pa.int32()), pa.array(key.view(np.int64))], names=["doc", "at", "key"])
+                # A window that this task holds several times is known to be repeated; one of its rows asks for the others.
+                order = np.argsort(key, kind="stable")
+                row, at, key = row[order], at[order], key[order]
+                asks = np.concatenate([[True], key[1:] != key[:-1]])
+                sure = ~asks
+                sure[:-1] |= sure[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in part], np.int64)[row]), pa.array(at, pa.int32()), pa.array(key.view(np.int64)), pa.array(sure), pa.array(asks)], names=["doc", "at", "key", "sure", "asks"])
 
     cols = ["doc", "at", "n", "anchor", "context", "core"]
     few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition("core").sortWithinPartitions("core").mapInArrow(compare, "doc long, at int, n int")
-    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(single, "doc long, at int, key long")
-    again = many.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    many = many.join(again, "key", "left_semi").select("doc", "at", F.lit(1).alias("n"))
+    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(single, "doc long, at int, key long, sure boolean, asks boolean")
+    many = stash(many, label + "-windows")
+    again = many.filter("asks").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    open_ = many.filter("NOT sure").join(again, "key", "left_semi")
+    many = many.filter("sure").select("doc", "at").union(open_.select("doc", "at")).withColumn("n", F.lit(1))
     runs = sure.union(few).union(many).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     runs = stash(runs, label + "-runs")
     for x in (occ, kinds, todo, found):
