@@ -37,6 +37,19 @@ class Cutter:
 
     width: int
     symbols_at_once: int
+    compared_at_once = 200_000  # symbols of contexts
+
+    def repeated(self, group):
+        """(rows, starts) of the windows of some contexts (doc, at, n, anchor, context, core) that occur several times.
+        The contexts of a core come together."""
+        row, at, key = windows(self, group)
+        # Windows are compared within a core; its hash is part of the key.
+        key = mix(key ^ np.array([r[5] for r in group], np.int64).view(np.uint64)[row])
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        hit = order[np.repeat(np.diff(np.append(edge, len(k))) > 1, np.diff(np.append(edge, len(k))))]
+        return row[hit], at[hit]
 
     def symbols(self, text: bytes | None) -> np.ndarray:  # uint64
         raise NotImplementedError
@@ -46,6 +59,22 @@ class Cutter:
         raise NotImplementedError
 
 
+def windows(cutter: Cutter, group):
+    """(row, window start, hash of window and its place) of all windows of some contexts."""
+    w = cutter.width
+    syms = [cutter.unpack(r[4]) for r in group]
+    sizes = np.array([len(s) for s in syms])
+    ph = PrefixHash(np.concatenate(syms))
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n = np.array([r[2] for r in group])
+    row = np.repeat(np.arange(len(group)), n)
+    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    lo = base[row] + j
+    at = np.array([r[1] for r in group])[row] + j
+    place = np.array([r[3] for r in group])[row] - at
+    return row, at, mix(ph.range(lo, lo + w) ^ mix(place.astype(np.uint64) + np.uint64(11)))
+
+
 def extent(ph: PrefixHash, at, n, anchor, width):
     return mix(ph.range(at, at + n - 1 + width) ^ mix((anchor - at).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
 
@@ -171,20 +200,6 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
     found = docs.join(todo, "doc").select("doc", "text", "todo").mapInArrow(contexts, "core long, kinds long, doc long, at int, n int, anchor int, context binary")
     found = stash(found, label + "-contexts")
 
-    def windows(group):
-        """(row, window start, hash of window and its place) of all windows of some rows (doc, at, n, anchor, context)."""
-        syms = [cutter.unpack(r[4]) for r in group]
-        sizes = np.array([len(s) for s in syms])
-        ph = PrefixHash(np.concatenate(syms))
-        base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n = np.array([r[2] for r in group])
-        row = np.repeat(np.arange(len(group)), n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        lo = base[row] + j
-        at = np.array([r[1] for r in group])[row] + j
-        place = np.array([r[3] for r in group])[row] - at
-        return row, at, mix(ph.range(lo, lo + w) ^ mix(place.astype(np.uint64) + np.uint64(11)))
-
     def runs_of(doc, at):
         if not len(at):
             return
@@ -198,21 +213,14 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
         group, symbols = [], 0
 
         def out():
-            row, at, key = windows(group)
-            # Windows are compared within a core; its hash is part of the key.
-            key = mix(key ^ np.array([r[5] for r in group], np.int64).view(np.uint64)[row])
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            times = np.diff(np.append(edge, len(k)))
-            hit = order[np.repeat(times > 1, times)]
-            yield from runs_of(np.array([r[0] for r in group], np.int64)[row[hit]], at[hit])
+            row, at = cutter.repeated(group)
+            yield from runs_of(np.array([r[0] for r in group], np.int64)[row], at)
 
         now = None
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if r[5] != now:  # whole cores only
-                    if symbols > 200_000:
+                    if symbols > cutter.compared_at_once:
                         yield from out()
                         group, symbols = [], 0
                     now = r[5]
@@ -226,7 +234,7 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
             group = list(zip(*(b.column(i).to_pylist() for i in range(6))))
             for i in range(0, len(group), 1000):
                 part = group[i : i + 1000]
-                row, at, key = windows(part)
+                row, at, key = windows(cutter, part)
                 # A window that this task holds several times is known to be repeated; one of its rows asks for the others.
                 order = np.argsort(key, kind="stable")
                 row, at, key = row[order], at[order], key[order]
