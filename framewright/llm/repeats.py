@@ -128,7 +128,7 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
             b = bucket[cuts].tolist()
             packed = [sent[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist())]
             for i in range(0, len(local), 4096):
-                b.append(int(local["core"][i] % np.uint64(parts)))
+                b.append(int(mix(local["full"][i : i + 1] ^ local["doc"][i : i + 1].view(np.uint64))[0] % np.uint64(parts)))  # anywhere
                 packed.append(local[i : i + 4096].tobytes())
             kind = [True] * len(cuts) + [False] * (len(b) - len(cuts))
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind), pa.array(packed, pa.binary())], names=["bucket", "asks", "packed"])
