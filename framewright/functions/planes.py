@@ -6,6 +6,7 @@ operators/filters.py takes numpy kernels for large ones.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -22,6 +23,26 @@ def clip(v: Column, lo: int, hi: int) -> Column:
     return F.least(F.greatest(v, F.lit(lo).cast("long")), F.lit(hi).cast("long"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once: inside f it is a variable, not an expression to repeat for each pixel."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def bound(f):
+    """Binds the leading Column arguments of an operator, so that planes made by other operators are made once."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        n = next((i for i, a in enumerate(args) if not isinstance(a, Column)), len(args))
+
+        def rest(k, done):
+            return f(*done, *args[n:], **kwargs) if k == n else let(args[k], lambda v: rest(k + 1, [*done, v]))
+
+        return rest(0, [])
+
+    return run
+
+
 def pixels(n: int, f: Callable[[Column], Column]) -> Column:
     """A new plane of n values f(i)."""
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), f)

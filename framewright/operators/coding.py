@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, clip, pixels, total, zipped
+from ..functions.planes import at, bound, cdiv, let, clip, pixels, total, zipped
 
 BASIS = [[math.sqrt(0.125 if u == 0 else 0.25) * math.cos(math.pi / 8 * u * (x + 0.5)) for x in range(8)] for u in range(8)]
 # Weights of intra blocks, row by row.
@@ -32,17 +32,18 @@ def zigzag() -> list[int]:
 def _product(block: Column, left: list[list[float]], by_row: bool) -> Column:
     m = F.array(*[F.array(*map(F.lit, r)) for r in left])
 
-    def cell(i):
+    def cell(i, block, m):
         a, b = cdiv(i, 8), i % 8
         line, k = (F.get(m, b.cast("int")), a) if by_row else (F.get(m, a.cast("int")), b)
         terms = [at(line, F.lit(j)) * at(block, (k * 8 + j) if by_row else (k + 8 * j)) for j in range(8)]
         return sum(terms[1:], terms[0])
 
-    return pixels(64, cell)
+    return let(block, lambda p: let(m, lambda t: pixels(64, lambda i: cell(i, p, t))))
 
 
 def _round(p: Column) -> Column:
-    return F.transform(p, lambda v: F.round(v).cast("long"))
+    """Half away from zero; a millionth decides nothing, so that sums of doubles in any order round alike."""
+    return F.transform(p, lambda v: F.round(F.round(v, 6)).cast("long"))
 
 
 def dct(block: Column) -> Column:
@@ -59,6 +60,7 @@ def _matrix(m: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in m])
 
 
+@bound
 def quantise_intra(block: Column, scale: int, matrix: list[int] = INTRA, dc: int = 8, limit: int = 2047) -> Column:
     """The first coefficient by dc, others by matrix and scale, all rounded to nearest, held to +-limit."""
 
@@ -75,22 +77,26 @@ def quantise_inter(block: Column, scale: int, matrix: list[int] = FLAT, limit: i
     return zipped(block, _matrix(matrix), lambda v, m: F.sign(v).cast("long") * F.least(cdiv(F.abs(v) * 16, m * scale), F.lit(limit).cast("long")))
 
 
+@bound
 def _mismatch(block: Column) -> Column:
     """An even sum flips the last bit of the last coefficient."""
     last = at(block, F.lit(63))
     return F.concat(F.slice(block, 1, 63), F.array(F.when(F.pmod(total(block), F.lit(2)) == 0, last.bitwiseXOR(F.lit(1).cast("long"))).otherwise(last)))
 
 
+@bound
 def dequantise_intra(block: Column, scale: int, matrix: list[int] = INTRA, dc: int = 8) -> Column:
     out = pixels(64, lambda i: F.when(i == 0, at(block, i) * dc).otherwise(clip(cdiv(at(block, i) * at(_matrix(matrix), i) * scale, 16), -2048, 2047)))
     return _mismatch(out)
 
 
+@bound
 def dequantise_inter(block: Column, scale: int, matrix: list[int] = FLAT) -> Column:
     out = zipped(block, _matrix(matrix), lambda v, m: F.sign(v).cast("long") * F.least(cdiv((F.abs(v) * 2 + 1) * m * scale, 32), F.lit(2047).cast("long")))
     return _mismatch(out)
 
 
+@bound
 def eliminate_singles(block: Column, least: int) -> Column:
     """A block whose coefficients beyond the first are all 0 or +-1 loses them when they are worth less than `least`:
     each is worth 3, 2 or 1, the less the farther along the zigzag it stands."""
@@ -102,12 +108,13 @@ def eliminate_singles(block: Column, least: int) -> Column:
     return F.when(small & (score < least), F.concat(F.slice(block, 1, 1), F.array_repeat(F.lit(0).cast("long"), 63))).otherwise(block)
 
 
+@bound
 def run_levels(block: Column) -> Column:
     """ARRAY<STRUCT<run, level>>: nonzero coefficients past the first along the zigzag, with the zeros before each."""
     scan = F.array(*[F.lit(i) for i in zigzag()])
-    v = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda k: F.struct(k.cast("long").alias("k"), at(block, F.get(scan, k)).alias("v")))
-    hit = F.filter(v, lambda e: e.v != 0)
-    return F.transform(hit, lambda e, i: F.struct((e.k - F.when(i == 0, F.lit(0)).otherwise(F.get(hit, i - 1).k) - 1).alias("run"), e.v.alias("level")))
+    v = F.transform(F.slice(scan, 2, 63), lambda k, i: F.struct((i + 1).cast("long").alias("k"), at(block, k).alias("v")))
+    pairs = lambda hit: F.transform(hit, lambda e, i: F.struct((e.k - F.when(i == 0, F.lit(0)).otherwise(F.get(hit, i - 1).k) - 1).alias("run"), e.v.alias("level")))
+    return let(F.filter(v, lambda e: e.v != 0), pairs)
 
 
 def coded_bits(block: Column, escape: int = 24, end: int = 2) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, clip, pixels, zipped
+from ..functions.planes import at, bound, cdiv, clip, pixels, zipped
 
 BLACK, WHITE = 16, 235
 
@@ -80,6 +80,7 @@ def fade(plane: Column, colour: int, factor: Column) -> Column:
     return F.transform(plane, lambda p: ((1 - factor) * colour + factor * p).cast("long"))
 
 
+@bound
 def wipe(a: Column, b: Column, w: int, h: int, direction: int, columns: int, phase: float, reposition: int = 0) -> Column:
     """A transition front runs through `columns` stripes: direction 1 right, 2 left, 3 down, 4 up. reposition 1 moves
     the leaving picture (a), 2 the coming one (b), 3 both."""
@@ -99,6 +100,7 @@ def wipe(a: Column, b: Column, w: int, h: int, direction: int, columns: int, pha
     return pixels(w * h, pixel)
 
 
+@bound
 def overlay(a: Column, b: Column, w: int, h: int, x: int, y: int, bw: int, bh: int) -> Column:
     """Picture b, of bw x bh, over a at (x, y)."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, clip, gathered, in_rectangle, neighbour, pixels, total, zipped
+from ..functions.planes import at, bound, cdiv, clip, gathered, in_rectangle, let, neighbour, pixels, total, zipped
 from ..functions.scalar import fir_taps, gaussian_taps, resample_weights
 
 BLACK, GREY = 16, 128
@@ -40,11 +40,13 @@ def long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
+@bound
 def shift(p: Column, w: int, h: int, dx: int, dy: int = 0, fill: int = BLACK) -> Column:
     """Moves the picture right and down; what comes in is fill."""
     return p if not (dx or dy) else pixels(w * h, lambda i: F.coalesce(neighbour(p, i, w, h, -dx, -dy, "none"), long(fill)))
 
 
+@bound
 def border(p: Column, w: int, h: int, x: int, y: int, bw: int, bh: int, fill: int = BLACK) -> Column:
     """Black outside a rectangle. A rectangle that leaves the picture changes nothing."""
     if x < 0 or y < 0 or x + bw > w or y + bh > h:
@@ -52,6 +54,7 @@ def border(p: Column, w: int, h: int, x: int, y: int, bw: int, bh: int, fill: in
     return pixels(w * h, lambda i: F.when(in_rectangle(i, w, x, y, bw, bh), at(p, i)).otherwise(fill))
 
 
+@bound
 def fill_area(p: Column, w: int, h: int, x: int, y: int, rw: int, rh: int, colour: int) -> Column:
     return pixels(w * h, lambda i: F.when(in_rectangle(i, w, x, y, rw, rh), colour).otherwise(at(p, i)))
 
@@ -63,6 +66,7 @@ def darken(p: Column, percent: int, centre: int = BLACK) -> Column:
     return F.transform(p, lambda v: F.greatest(out(v), long(BLACK)) if centre == BLACK else out(v))
 
 
+@bound
 def copy_area(p: Column, w: int, h: int, y: int, rh: int, n: int, from_above: bool = True) -> Column:
     """Rows y..y+rh-1 repeat the n rows above (or below) them."""
 
@@ -74,13 +78,14 @@ def copy_area(p: Column, w: int, h: int, y: int, rh: int, n: int, from_above: bo
     return pixels(w * h, pixel)
 
 
+@bound
 def average_area(p: Column, w: int, h: int, n: int) -> Column:
     """Each n x n block becomes its whole mean; blocks at the right and bottom may be smaller."""
 
     def pixel(i):
         x0, y0 = cdiv(i % w, n) * n, cdiv(cdiv(i, w), n) * n
         cells = F.array_compact(F.array(*[F.when((x0 + dx < w) & (y0 + dy < h), at(p, (y0 + dy) * w + x0 + dx)) for dy in range(n) for dx in range(n)]))
-        return cdiv(total(cells), F.size(cells))
+        return let(cells, lambda c: cdiv(total(c), F.size(c)))
 
     return pixels(w * h, pixel)
 
@@ -89,6 +94,7 @@ def mono(p: Column) -> Column:
     return F.array_repeat(long(GREY), F.size(p))
 
 
+@bound
 def swap_fields(p: Column, w: int, h: int) -> Column:
     """Exchanges each even row with the odd one below it; an odd last row stays."""
 
@@ -100,12 +106,14 @@ def swap_fields(p: Column, w: int, h: int) -> Column:
     return pixels(w * h, pixel)
 
 
+@bound
 def field(p: Column, w: int, h: int, odd: bool) -> Column:
     """The rows of one field."""
     n = h // 2 if odd else (h + 1) // 2
     return pixels(w * n, lambda i: at(p, (cdiv(i, w) * 2 + int(odd)) * w + i % w))
 
 
+@bound
 def weave(top: Column, bottom: Column, w: int, h: int) -> Column:
     return pixels(w * h, lambda i: F.when(cdiv(i, w) % 2 == 0, at(top, cdiv(cdiv(i, w), 2) * w + i % w)).otherwise(at(bottom, cdiv(cdiv(i, w), 2) * w + i % w)))
 
@@ -115,6 +123,7 @@ DIAMOND = [(-2, 0, 1), (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (0, -2, 1), (0, -1,
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
 
 
+@bound
 def diamond_blur(p: Column, w: int, h: int, t: int) -> Column:
     """Thirteen taps over 20, blended with the source by t of 256; borders replicate."""
     if t == 0:
@@ -127,16 +136,18 @@ def diamond_blur(p: Column, w: int, h: int, t: int) -> Column:
     return pixels(w * h, pixel)
 
 
+@bound
 def clamp_outliers(p: Column, w: int, h: int) -> Column:
     """Holds each value within the range of its neighbours inside the plane."""
 
     def pixel(i):
         near = gathered(p, i, w, h, AROUND, "none")
-        return F.least(F.greatest(at(p, i), F.array_min(near)), F.array_max(near))
+        return let(near, lambda n: F.least(F.greatest(at(p, i), F.array_min(n)), F.array_max(n)))
 
     return pixels(w * h, pixel)
 
 
+@bound
 def similar_mean(p: Column, w: int, h: int, level: int) -> Column:
     """5 x 5 mean weighted by max(0, level - |difference|), the centre by level, rounded to nearest."""
     if level == 0:
@@ -145,13 +156,15 @@ def similar_mean(p: Column, w: int, h: int, level: int) -> Column:
     def pixel(i):
         r = at(p, i)
         near = gathered(p, i, w, h, [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3) if dx or dy], "none")
-        weights = F.transform(near, lambda v: F.greatest(level - F.abs(v - r), long(0)))
-        top = total(F.zip_with(near, weights, lambda v, k: v * k)) + r * level
-        return cdiv(cdiv(top * 2, total(weights) + level) + 1, 2)
+        weighted = F.transform(near, lambda v: let(F.greatest(level - F.abs(v - r), long(0)), lambda k: F.struct(k.alias("k"), (k * v).alias("v"))))
+        start = F.struct(long(level).alias("k"), (r * level).alias("v"))
+        sums = F.aggregate(weighted, start, lambda s, e: F.struct((s.k + e.k).alias("k"), (s.v + e.v).alias("v")))
+        return let(sums, lambda s: cdiv(cdiv(s.v * 2, s.k) + 1, 2))
 
     return pixels(w * h, pixel)
 
 
+@bound
 def threshold_mean(p: Column, w: int, h: int, radius: int, threshold: int, cutoff: float = 1 / 3, weight: int = 1) -> Column:
     """Mean of the values around that lie within a threshold, the centre counting `weight` times, rounded to nearest;
     where they are too few, a 3 x 3 mean whose centre counts eightfold. The outer `radius` values stay."""
@@ -164,28 +177,33 @@ def threshold_mean(p: Column, w: int, h: int, radius: int, threshold: int, cutof
         col, row, r = i % w, cdiv(i, w), at(p, i)
         near = F.filter(gathered(p, i, w, h, [(dx, dy) for dy in span for dx in span]), lambda v: F.abs(v - r) < threshold)
         few = cdiv(total(gathered(p, i, w, h, AROUND)) + 8 * r + 8, 16)
-        n = F.size(near).cast("long")
-        all_n = n + weight - 1
-        mean = F.when(n <= least, few).otherwise(r + F.floor((2 * (total(near) - n * r) + all_n) / (2 * all_n)))
+
+        def mean_of(near):
+            n = F.size(near).cast("long")
+            all_n = n + weight - 1
+            return F.when(n <= least, few).otherwise(r + F.floor((2 * (total(near) - n * r) + all_n) / (2 * all_n)))
+
+        mean = let(near, mean_of)
         return F.when((col >= radius) & (col < w - radius) & (row >= radius) & (row < h - radius), mean).otherwise(r)
 
     return pixels(w * h, pixel)
 
 
+@bound
 def box_mean(p: Column, w: int, h: int, radius: int) -> Column:
     """Plain mean over a square, cut at the borders, rounded to nearest."""
     span = range(-radius, radius + 1)
 
     def pixel(i):
         near = gathered(p, i, w, h, [(dx, dy) for dy in span for dx in span], "none")
-        return cdiv(total(near) + cdiv(F.size(near), 2), F.size(near))
+        return let(near, lambda n: cdiv(total(n) + cdiv(F.size(n), 2), F.size(n)))
 
     return pixels(w * h, pixel)
 
 
 def _rows_then_columns(p: Column, w: int, h: int, across, down) -> Column:
     """A separable filter: across(plane) then down(plane), both of doubles."""
-    return down(across(F.transform(p, lambda v: v.cast("double")), w, h), w, h)
+    return let(F.transform(p, lambda v: v.cast("double")), lambda q: let(across(q, w, h), lambda r: down(r, w, h)))
 
 
 def _taps(t: list[float], vertical: bool):
@@ -202,6 +220,7 @@ def _taps(t: list[float], vertical: bool):
     return run
 
 
+@bound
 def unsharp(p: Column, w: int, h: int, radius: float, amount: float, threshold: int) -> Column:
     """Adds back what a Gaussian blur takes away, where twice the difference reaches the threshold."""
     t = gaussian_taps(radius)
@@ -214,6 +233,7 @@ def unsharp(p: Column, w: int, h: int, radius: float, amount: float, threshold:
     return zipped(p, blurred, sharp)
 
 
+@bound
 def low_pass(p: Column, w: int, h: int, length: int, bandwidth: float) -> Column:
     """Symmetric FIR along rows, then columns; near an edge the longest filter that fits is used."""
     taps = fir_taps(length, bandwidth)
@@ -239,29 +259,31 @@ def low_pass(p: Column, w: int, h: int, length: int, bandwidth: float) -> Column
     return F.transform(_rows_then_columns(p, w, h, one(False), one(True)), lambda v: (F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("long"))
 
 
+@bound
 def resample(p: Column, w: int, h: int, ow: int, oh: int, kernel: str = "cubic") -> Column:
     """Separable resampling; the axis that shrinks most goes first. Weights are literals made when planning."""
 
-    def axis(q, n, m, stride_in, lines, vertical):
+    def axis(q, n, m, lines, vertical):
         weights = resample_weights(n, m, kernel)
         table = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in row]) for row in weights])
 
-        def pixel(i):
+        def pixel(i, table):
             line, k = (i % lines, cdiv(i, lines)) if vertical else (cdiv(i, m), i % m)
             row = F.get(table, k.cast("int"))
             where = (lambda e: e.i * lines + line) if vertical else (lambda e: line * n + e.i)
-            return F.aggregate(row, F.lit(0.0), lambda s, e: s + e.v * at(q, where(e)))
+            return let(row, lambda r: F.aggregate(r, F.lit(0.0), lambda s, e: s + e.v * at(q, where(e))))
 
-        return pixels(m * lines, pixel)
+        # the table is a variable too: made once, not for each pixel
+        return let(table, lambda t: pixels(m * lines, lambda i: pixel(i, t)))
 
-    q = F.transform(p, lambda v: v.cast("double"))
-    if ow / w <= oh / h:
-        q = axis(axis(q, w, ow, w, h, False), h, oh, w, ow, True)
-    else:
-        q = axis(axis(q, h, oh, w, w, True), w, ow, w, oh, False)
+    across = lambda lines: lambda q: axis(q, w, ow, lines, False)
+    down = lambda lines: lambda q: axis(q, h, oh, lines, True)
+    first, second = (across(h), down(ow)) if ow / w <= oh / h else (down(w), across(oh))
+    q = let(F.transform(p, lambda v: v.cast("double")), lambda q: let(first(q), second))
     return F.transform(q, lambda v: clip(F.floor(v + 0.5), 0, 255))
 
 
+@bound
 def area_average(p: Column, w: int, h: int, kx: int, ky: int) -> Column:
     """Whole mean of kx x ky cells, rounded to nearest."""
     ow, n = w // kx, kx * ky
@@ -310,6 +332,7 @@ def video_to_full(v: Column) -> Column:
     return clip(F.round((v - 16) * (255 / 219)).cast("long"), 0, 255)
 
 
+@bound
 def supersample(p: Column, w: int, h: int) -> Column:
     """Twice the size by a triangle filter: each new value is 9, 3, 3 and 1 sixteenths of the four around it."""
 
@@ -323,11 +346,13 @@ def supersample(p: Column, w: int, h: int) -> Column:
     return pixels(4 * w * h, pixel)
 
 
+@bound
 def unpack_yuyv(p: Column) -> Column:
     """Packed y u y v -> STRUCT<y, u, v> planes."""
     pick = lambda start, step: F.transform(F.sequence(long(start), F.size(p).cast("long") - 1, long(step)), lambda i: at(p, i))
     return F.struct(pick(0, 2).alias("y"), pick(1, 4).alias("u"), pick(3, 4).alias("v"))
 
 
+@bound
 def pack_yuyv(y: Column, u: Column, v: Column) -> Column:
     return F.flatten(F.transform(F.sequence(long(0), F.size(u).cast("long") - 1), lambda i: F.array(at(y, 2 * i), at(u, i), at(y, 2 * i + 1), at(v, i))))

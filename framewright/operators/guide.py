@@ -40,14 +40,14 @@ def coalesce_listings(df: DataFrame, key: list[str], start: str, stop: str) -> D
 def repeats(df: DataFrame, rule: Column, start: str, steps: int) -> DataFrame:
     """The next `steps` starts by rule: daily and weekdays a day on, weekly a week on; once has none."""
     gap = F.when(rule.isin("daily", "weekdays"), 1).when(rule == "weekly", 7)
-    on = df.withColumn("__gap", gap).filter("__gap IS NOT NULL").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))).cast("long"))
+    on = df.withColumn("__gap", gap).filter("__gap IS NOT NULL").withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))))
     return on.withColumn(start, F.col(start) + F.expr("make_dt_interval(CAST(__gap * step AS INT))")).drop("__gap")
 
 
 def slot_grid(df: DataFrame, start: Column, stop: Column, slot: int = SLOT) -> DataFrame:
     """One row for each slot that a listing touches: slot (start second of the slot)."""
     lo, hi = F.floor(start / slot), F.floor((F.greatest(stop, start + 1) - 1) / slot)
-    return df.withColumn("slot", F.explode(F.sequence(lo, hi)) * slot)
+    return df.withColumn("slot", F.explode(F.transform(F.sequence(lo, hi), lambda k: k * slot)))
 
 
 def due(df: DataFrame, start: Column, stop: Column, now: int, lead: int = 30) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, total
+from ..functions.planes import at, cdiv, let, total
 
 WEIGHT_CAP = 65025
 
@@ -13,12 +13,13 @@ WEIGHT_CAP = 65025
 def candidates(block: Column, bw: int, bh: int, ref: Column, w: int, h: int, x: int, y: int, radius: int, step: int = 1) -> Column:
     """ARRAY<STRUCT<weight, dx, dy>>: sums of absolute differences of a block against places of a reference that lie
     inside it, each capped at 255 x 255."""
+    away = lambda base: lambda v, i: F.abs(v - at(ref, base + cdiv(i, bw) * w + i % bw))
     out = []
     for dy in range(-radius, radius + 1, step):
         for dx in range(-radius, radius + 1, step):
             if 0 <= x + dx and x + dx + bw <= w and 0 <= y + dy and y + dy + bh <= h:
                 base = (y + dy) * w + x + dx
-                diff = F.transform(block, lambda v, i, base=base: F.abs(v - at(ref, base + cdiv(i, bw) * w + i % bw)))
+                diff = F.transform(block, away(base))
                 out.append(F.struct(F.least(total(diff), F.lit(WEIGHT_CAP).cast("long")).alias("weight"), F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")))
     return F.array(*out)
 
@@ -27,9 +28,9 @@ def thinned(found: Column, times: int) -> tuple[Column, Column]:
     """Keeps, `times` times over, the candidates that weigh no more than the whole mean; also the last mean. One
     candidate or none is left alone."""
     mean = lambda c: cdiv(total(F.transform(c, lambda e: e.weight)), F.size(c))
+    kept = lambda c: F.when(F.size(c) <= 1, c).otherwise(let(mean(c), lambda m: F.filter(c, lambda e: e.weight <= m)))
     for _ in range(times):
-        keep, m = found, mean(found)
-        found = F.when(F.size(keep) <= 1, keep).otherwise(F.filter(keep, lambda e, m=m: e.weight <= m))
+        found = let(found, kept)
     return found, F.coalesce(mean(found), F.lit(100000).cast("long"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, pixels, total, zipped
+from ..functions.planes import at, bound, cdiv, pixels, total, zipped
 
 
 def histogram(df: DataFrame, plane: str, *by: str) -> DataFrame:
@@ -37,6 +37,7 @@ def occupancy(df: DataFrame, u: str, v: str, scale: int) -> DataFrame:
     return df.select(pair).select(cdiv(F.col("p.u"), scale).alias("u"), cdiv(F.col("p.v"), scale).alias("v")).distinct()
 
 
+@bound
 def sampled_mean(plane: Column, n: int, step: int) -> Column:
     """Whole mean of every step-th value."""
     taken = list(range(0, n, step))
@@ -47,6 +48,7 @@ def mean(plane: Column) -> Column:
     return cdiv(total(plane), F.size(plane))
 
 
+@bound
 def variance(plane: Column) -> Column:
     """Sum of squares less the square of the sum over the count, in whole numbers, not divided by the count."""
     s = total(plane)
@@ -74,6 +76,7 @@ def bidirectional_ssd(a: Column, before: Column, after: Column) -> Column:
     return ssd(a, average(before, after))
 
 
+@bound
 def subsample(plane: Column, w: int, h: int) -> Column:
     """Means of 2 x 2 blocks, rounded down."""
     half = w // 2
@@ -85,6 +88,7 @@ def subsample(plane: Column, w: int, h: int) -> Column:
     return pixels(half * (h // 2), mean4)
 
 
+@bound
 def half_pel(plane: Column, w: int, h: int, dx: int, dy: int) -> Column:
     """The plane moved by half a value right and/or down: rounded means of 2 or 4 neighbours inside it."""
     near = lambda i, x, y: at(plane, F.least(cdiv(i, w) + y, F.lit(h - 1)) * w + F.least(i % w + x, F.lit(w - 1)))
@@ -108,6 +112,7 @@ def activity(coefficients: Column, weights: list[int], floor: float = 12.0) -> C
     return F.greatest(total(zipped(coefficients, w, lambda c, k: F.abs(c) * k)).cast("double"), F.lit(floor))
 
 
+@bound
 def field_difference(a: Column, b: Column, w: int, noise: int) -> Column:
     """STRUCT<even, odd, cross>: squared differences beyond a noise gate, >> 4, by field, and of b's even rows against
     a's odd ones."""

@@ -104,7 +104,7 @@ def every_nth(df: DataFrame, pos: str, n: int) -> DataFrame:
 
 def step_through(sizes: DataFrame, size: str, start: int, speed: int, steps: int) -> DataFrame:
     """Playback positions after 0..steps steps at a speed, held inside each list: adds step, pos."""
-    stepped = sizes.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))).cast("long"))
+    stepped = sizes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))))
     at = F.greatest(F.least(F.lit(start) + F.col("step") * speed, F.col(size) - 1), F.lit(0))
     return stepped.withColumn("pos", at.cast("long"))
 

@@ -580,7 +580,7 @@ def unpack_yuyv(spark, sf):
 # Coding. Doubles that meet a half to the last bit may round either way, so the SQL works at 1e-6 of the value first.
 
 of_block("dct8", lambda p: coding.dct(F.transform(p, lambda v: v - 128)), """, k AS (SELECT u.v AS u, x.v AS x, sqrt(CASE WHEN u.v = 0 THEN 0.125 ELSE 0.25 END) * cos(pi() / 8 * u.v * (x.v + 0.5)) AS c FROM range(0, 8) u(v), range(0, 8) x(v))
-SELECT id, v.u * 8 + h.u AS i, CAST(round(sum((x - 128) * h.c * v.c)) AS BIGINT) AS x FROM blk JOIN k h ON h.x = blk.c JOIN k v ON v.x = blk.y GROUP BY id, v.u, h.u""".replace("SELECT id", "SELECT blk.id").replace("sum((x - 128)", "sum((blk.x - 128)").replace("GROUP BY id", "GROUP BY blk.id"))
+SELECT id, v.u * 8 + h.u AS i, CAST(round(round(sum((x - 128) * h.c * v.c), 6)) AS BIGINT) AS x FROM blk JOIN k h ON h.x = blk.c JOIN k v ON v.x = blk.y GROUP BY id, v.u, h.u""".replace("SELECT id", "SELECT blk.id").replace("sum((x - 128)", "sum((blk.x - 128)").replace("GROUP BY id", "GROUP BY blk.id"))
 of_block("idct8", lambda p: coding.idct(coding.dct(p)))
 of_block("quantise_inter", lambda p: coding.quantise_inter(F.transform(p, lambda v: (v - 128) * 9), 5), "SELECT id, i, sign(x - 128) * least((abs((x - 128) * 9) * 16) // 80, 2047) AS x FROM blk")
 of_block("dequantise_inter", lambda p: coding.dequantise_inter(F.transform(p, lambda v: v - 128), 5), """, d AS (SELECT id, i, sign(x - 128) * least(((abs(x - 128) * 2 + 1) * 80) // 32, 2047) AS x FROM blk), s AS (SELECT id, sum(x) AS s FROM d GROUP BY id)
@@ -655,9 +655,10 @@ def align_streams(spark, sf):
 
 @query("mux_schedule")
 def mux_schedule(spark, sf):
-    """Each order is a multiplex of its lines by return flag, with one buffer size."""
-    d = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("double").alias("dts"), "l_quantity", F.col("l_linenumber").cast("long").alias("line"))
-    return mux.schedule(d, "l_orderkey", "l_returnflag", "dts", "l_quantity", 100.0, 80, "line")
+    """Each supplier is a multiplex of its lines by return flag, with one buffer size."""
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")
+    d = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("double").alias("dts"), "l_quantity", line)
+    return mux.schedule(d, "l_suppkey", "l_returnflag", "dts", "l_quantity", 100.0, 80, "line")
 
 
 @query("au_scan", """WITH p AS (SELECT doc_id, string_split(text, '. ') AS a FROM documents WHERE text IS NOT NULL),
