@@ -46,6 +46,7 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bwt = np.sort(before[ends] | np.arange(n_docs))
     common = np.zeros(n_docs + 1, np.uint16)
     place, at, live = np.arange(n_docs), ends.copy(), np.arange(n_docs)
+    count = np.arange(len(flat))
     for column in range(1, int(sizes.max()) + 1):
         keep = sizes[live] >= column
         live, place, at = live[keep], place[keep], at[keep]
@@ -67,8 +68,8 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         # write transform and common prefixes anew, in order, with the new suffixes between the old ones
         old = np.ones(n + k, bool)
         old[new] = False
-        moved = np.flatnonzero(old)
-        bwt = (bwt & ~low32) | moved[bwt & low32]
+        further = np.flatnonzero(old) - count[:n]
+        bwt += further[bwt & low32]
         goes_on = sizes[live] > column
         keys = np.sort((before[at] | new)[goes_on])
         grown = np.ones(len(bwt) + len(keys), bool)
@@ -97,7 +98,7 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 class ByteCutter(Cutter):
     symbols_at_once = 1_500_000
-    compared_at_once = 50_000
+    compared_at_once = 150_000
 
     def repeated(self, group):
         texts = [np.frombuffer(r[4], np.uint8) for r in group]
