@@ -278,8 +278,14 @@ def resample(p: Column, w: int, h: int, ow: int, oh: int, kernel: str = "cubic")
 
     across = lambda lines: lambda q: axis(q, w, ow, lines, False)
     down = lambda lines: lambda q: axis(q, h, oh, lines, True)
-    first, second = (across(h), down(ow)) if ow / w <= oh / h else (down(w), across(oh))
-    q = let(F.transform(p, lambda v: v.cast("double")), lambda q: let(first(q), second))
+    q = F.transform(p, lambda v: v.cast("double"))
+    if oh == h:  # an axis that keeps its size is not filtered
+        q = q if ow == w else let(q, across(h))
+    elif ow == w:
+        q = let(q, down(w))
+    else:
+        first, second = (across(h), down(ow)) if ow / w <= oh / h else (down(w), across(oh))
+        q = let(q, lambda p: let(first(p), second))
     return F.transform(q, lambda v: clip(F.floor(v + 0.5), 0, 255))
 
 
