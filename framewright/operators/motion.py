@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.planes import at, cdiv, let, total
+from ..functions.planes import at, bound, cdiv, let, total
 
 WEIGHT_CAP = 65025
 
@@ -13,6 +13,11 @@ WEIGHT_CAP = 65025
 def candidates(block: Column, bw: int, bh: int, ref: Column, w: int, h: int, x: int, y: int, radius: int, step: int = 1) -> Column:
     """ARRAY<STRUCT<weight, dx, dy>>: sums of absolute differences of a block against places of a reference that lie
     inside it, each capped at 255 x 255."""
+    return _candidates(block, ref, bw, bh, w, h, x, y, radius, step)
+
+
+@bound
+def _candidates(block: Column, ref: Column, bw: int, bh: int, w: int, h: int, x: int, y: int, radius: int, step: int) -> Column:
     away = lambda base: lambda v, i: F.abs(v - at(ref, base + cdiv(i, bw) * w + i % bw))
     out = []
     for dy in range(-radius, radius + 1, step):
