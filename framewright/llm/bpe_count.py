@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: White space as the vocabulary's library knows it (Python's \s has four control characters more).
 WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
@@ -46,7 +48,7 @@ def byte_symbols() -> list[str]:
 class Pieces(dict):
     """What `value` gives for ' ' + piece, remembered for the first LIMIT short pieces (frequent ones come early)."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, value):
         super().__init__()
@@ -62,7 +64,7 @@ class Pieces(dict):
 
 
 class BpeCounter:
-    TOKENS = 500_000
+    TOKENS = 150_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -172,7 +174,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidied(run, keep="bpe"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, as_bytes, mix
+from .common import PrefixHash, as_bytes, mix, tidied
 from .repeats import Cutter, covered, with_runs
 
 Q = 64
@@ -163,7 +163,7 @@ def digest(docs: DataFrame, width: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ByteCutter(width), "bytes")
-    return found.select("doc_id", "text", "__runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "__runs").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_byte_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -68,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """word bytes -> 64-bit hash, remembered for a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word):
         if len(self) >= self.LIMIT:
@@ -80,6 +84,35 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One table for all operators of a Python worker.
+WORDS = WordIds()
+
+
+def tidy(keep: str) -> None:
+    """Gives back what the operators of a worker remember, but for the tables named by keep."""
+    WORDS.clear()
+    for module, name in (("bpe_count", "counter_for"), ("packing", "encoder_for")):
+        if keep != "bpe" and (m := sys.modules.get(f"{__package__}.{module}")) and getattr(m, name).cache_info().currsize:
+            getattr(m, name).cache_clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(generator, keep: str = ""):
+    """The generator, after which the worker gives back memory. Workers serve many stages, so tables that one operator
+    remembers would add up to those of the next."""
+
+    def run(batches):
+        try:
+            yield from generator(batches)
+        finally:
+            tidy(keep)  # by name, so that it meets the worker's own tables
+
+    return run
+
+
 class PrefixHash:
     """Polynomial hashes of any range of a uint64 sequence, modulo 2**64, with a final mix over hash and length."""
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from .common import tidied
+
 WINDOW = 10
 #: Words of the items in one automaton.
 MAX_WORDS = 1_000_000
@@ -166,7 +168,7 @@ def mark(docs: DataFrame, shards: list[bytes], text: str = "text", names=("n_wor
                 items.append(sorted(of))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:-1], *names])
 
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(run, schema)
+    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), schema)
 
 
 def n_hit():
@@ -204,7 +206,7 @@ def clean(docs: DataFrame, items: DataFrame, max_words: int = 0, max_share: floa
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=narrow.names)
 
-    return marked.mapInArrow(cut, narrow)
+    return marked.mapInArrow(tidied(cut), narrow)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

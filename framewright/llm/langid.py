@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 BITS = 15
 SLOTS = 3 << BITS
 CHUNK = 1 << 18
@@ -52,7 +54,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["g", "slot", "n"])
 
-    got = rows.select("t", "g").mapInArrow(count, "g string, slot int, n long").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("t", "g").mapInArrow(tidied(count), "g string, slot int, n long").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column(0).to_pylist()))
     m = np.full((SLOTS, len(langs)), 0.5, np.float64)
     if langs:
@@ -96,7 +98,7 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*narrow.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(run, schema)
+    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, discard, mix, stash
+from .common import WORDS, as_bytes, discard, mix, stash, tidied
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS, BLOCK = 56, 6, 1024, 512
@@ -33,7 +33,6 @@ _A = (_rng.integers(0, 1 << 32, N, dtype=np.uint64) | np.uint64(1)).astype(np.ui
 _B = _rng.integers(0, 1 << 32, N, dtype=np.uint64).astype(np.uint32)
 _SALT = _rng.integers(0, 1 << 64, N, dtype=np.uint64)
 _C = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
-WORDS = WordIds()
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -136,7 +135,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))], names=["doc_id", "n_shingles", "setkey", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, setkey binary, bands array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, setkey binary, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -178,7 +177,7 @@ def verified(spark, rows: DataFrame, clusters: DataFrame, k: int, num: int, den:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.bool_())], names=["doc_id", "label", "text", "near"])
 
     heads = big.filter("doc_id = label").dropDuplicates(["label"]).select("label", F.col("text").alias("head"))
-    starred = stash(big.select("doc_id", "label", "text").join(heads, "label").select("doc_id", "label", "text", "head").mapInArrow(star, "doc_id long, label long, text string, near boolean"), "cluster-stars")
+    starred = stash(big.select("doc_id", "label", "text").join(heads, "label").select("doc_id", "label", "text", "head").mapInArrow(tidied(star), "doc_id long, label long, text string, near boolean"), "cluster-stars")
     counts = starred.groupBy("label").agg(F.sum(F.col("near").cast("int")).alias("n1"), F.sum((~F.col("near")).cast("int")).alias("n0"))
     parts = starred.join(counts.filter("n0 > 0"), "label")
     parts = parts.withColumn("c0", F.ceil(F.col("n0") / block)).withColumn("c1", F.ceil(F.col("n1") / block))
@@ -215,7 +214,7 @@ def verified(spark, rows: DataFrame, clusters: DataFrame, k: int, num: int, den:
             yield out()
 
     units = small.union(parts).repartition("unit").sortWithinPartitions("unit", "doc_id")
-    found = units.mapInArrow(compare, "u long, v long")
+    found = units.mapInArrow(tidied(compare), "u long, v long")
     return found.union(starred.filter("near AND doc_id <> label").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
 
 

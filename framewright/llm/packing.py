@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_count import BORDER, PATTERN, Pieces
+from .common import tidied
 
 SEQUENCE = 2048
 SALTS = 64
@@ -96,7 +97,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidied(run, keep="bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_runs(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:

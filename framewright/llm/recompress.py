@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, WordIds, as_bytes, mix
+from .common import PrefixHash, WORDS, as_bytes, mix, tidied
 from .repeats import Cutter, covered, with_runs
 
 ROUNDS = 3
-WORDS = WordIds()
 _U = np.uint64
 
 
@@ -128,7 +127,7 @@ def digest(docs: DataFrame, width: int = 35) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    return found.select("doc_id", "text", "__runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc_id", "text", "__runs").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -155,4 +154,4 @@ def remove(docs: DataFrame, width: int = 35, text: str = "text", key: str = "doc
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidied(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, as_bytes, discard, mix, stash
+from .common import PrefixHash, as_bytes, discard, mix, stash, tidied
 
 #: Extents of one core that a task compares at once.
 GROUP = 2048
@@ -172,8 +172,8 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
             occ = occ[order[np.repeat(times > 1, times)]]
             yield from rows(occ[occ["many"] == 0])  # markers have gone past the buckets already
 
-    sent = docs.mapInArrow(emit, "bucket long, asks boolean, packed binary")
-    return stash(sent.repartition(parts, "bucket").mapInArrow(answer, _OCC), label + "-shared")
+    sent = docs.mapInArrow(tidied(emit), "bucket long, asks boolean, packed binary")
+    return stash(sent.repartition(parts, "bucket").mapInArrow(tidied(answer), _OCC), label + "-shared")
 
 
 def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
@@ -197,7 +197,7 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["core", "kinds", "doc", "at", "n", "anchor", "context"])
 
-    found = docs.join(todo, "doc").select("doc", "text", "todo").mapInArrow(contexts, "core long, kinds long, doc long, at int, n int, anchor int, context binary")
+    found = docs.join(todo, "doc").select("doc", "text", "todo").mapInArrow(tidied(contexts), "core long, kinds long, doc long, at int, n int, anchor int, context binary")
     found = stash(found, label + "-contexts")
 
     def runs_of(doc, at):
@@ -244,8 +244,8 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in part], np.int64)[row]), pa.array(at, pa.int32()), pa.array(key.view(np.int64)), pa.array(sure), pa.array(asks)], names=["doc", "at", "key", "sure", "asks"])
 
     cols = ["doc", "at", "n", "anchor", "context", "core"]
-    few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition("core").sortWithinPartitions("core").mapInArrow(compare, "doc long, at int, n int")
-    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(single, "doc long, at int, key long, sure boolean, asks boolean")
+    few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition("core").sortWithinPartitions("core").mapInArrow(tidied(compare), "doc long, at int, n int")
+    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(tidied(single), "doc long, at int, key long, sure boolean, asks boolean")
     many = stash(many, label + "-windows")
     again = many.filter("asks").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     open_ = many.filter("NOT sure").join(again, "key", "left_semi")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .common import tidied
+
 #: Bounds of what is learnt.
 MAX_TRAIN_ROWS, MAX_TERMS, MAX_EXCEPTIONS = 20_000, 2_000, 2_000
 THRESHOLD = 0.7
@@ -144,7 +146,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
 
     least = max(3, bad // 500)
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
-    found = rows.select("t", "y").mapInArrow(grams, "g string, bad long, good long").groupBy("g").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = rows.select("t", "y").mapInArrow(tidied(grams), "g string, bad long, good long").groupBy("g").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     found = found.filter(f"bad >= {least}").withColumn("w", odds).filter("w >= 3").orderBy(F.desc(F.col("w") * F.col("bad")), "g").limit(20 * MAX_TERMS).collect()
     terms: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (-r.w * r.bad, len(r.g), r.g)):
@@ -174,13 +176,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
                 den.append(dense)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.list_(pa.string())), pa.array(y, pa.int32()), pa.array(tot, pa.float64()), pa.array(den, pa.float64())], names=["g", "y", "total", "dense"])
 
-    marked = stash(rows.select("t", "y").mapInArrow(contexts, "g array<string>, y int, total double, dense double"), "toxic-marked")
+    marked = stash(rows.select("t", "y").mapInArrow(tidied(contexts), "g array<string>, y int, total double, dense double"), "toxic-marked")
     spare = marked.select("y", F.explode("g").alias("g")).groupBy("g").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("good"))
     spare = [r.g for r in spare.filter("good >= 3 and good >= 10 * bad").orderBy(F.desc("good"), "g").limit(MAX_EXCEPTIONS).collect() if " " in r.g]
     if spare:
         dumped = Lexicon(terms, spare).dump()
         discard(marked)
-        marked = stash(rows.select("t", "y").mapInArrow(contexts, "g array<string>, y int, total double, dense double"), "toxic-marked")
+        marked = stash(rows.select("t", "y").mapInArrow(tidied(contexts), "g array<string>, y int, total double, dense double"), "toxic-marked")
     data = marked.select("total", "dense", "y").toPandas()  # at most MAX_TRAIN_ROWS small rows
     curve = _logistic(np.log1p(data[["total", "dense"]].to_numpy()), data["y"].to_numpy() == 1) if len(data) else (0, 0, 0)
     discard(marked)
@@ -199,7 +201,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "tox
             s = pa.array([lex.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], out])
 
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(run, StructType([*narrow.schema.fields]).add(out, DoubleType()))
+    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), StructType([*narrow.schema.fields]).add(out, DoubleType()))
 
 
 def held_out(key: str = "doc_id"):
