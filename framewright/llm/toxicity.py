@@ -72,16 +72,12 @@ class Lexicon:
         """Summed weight of the matches outside exception phrases; the same per 100 words."""
         if not text or not self.terms:
             return 0.0, 0.0
-        t = fold(text)
-        hits = list(self.find.iter(t))
-        if not hits:
-            return 0.0, 0.0
-        t = SPACES.sub(" ", t)
+        t = SPACES.sub(" ", fold(text))
         best: dict[int, float] = {}
         for end, (n, w) in self.find.iter(t):
             at = end - n
             best[at] = max(best.get(at, 0.0), w)
-        if self.exceptions:
+        if best and self.exceptions:
             for end, n in self.spare.iter(t):
                 for at in [a for a in best if end - n < a + 1 <= end]:
                     del best[at]

@@ -176,3 +176,11 @@ def test_lexicon_folding_and_exceptions():
     assert lex.evidence("You 1d10t!")[0] == lex.evidence("You idiоt")[0] == 4.0
     assert lex.evidence("no, IDIOT here")[0] == 0 and lex.evidence("idiotic")[0] == 0 and lex.evidence("morons")[0] == 3.0
     assert lex.score("idiot " * 3) > lex.score(None) == lex.score("")
+
+
+def test_words_beside_signs_outside_ascii():
+    lex = toxicity.Lexicon({"idiot ": 4.0, "mor": 3.0}, ["no idiot"], (-3.0, 2.0, 0.5))
+    for t in ("You “idiot”!", "you—idiot", "you idiot…", "‘Idiot’", "«idiot»", "¿idiot?", "you！idiot！"):
+        assert lex.evidence(t) == lex.evidence(" ".join(toxicity.words(t))) and lex.evidence(t)[0] == 4.0, t
+        assert lex.score(t) > lex.score("")
+    assert lex.evidence("“morons”")[0] == 3.0 and lex.evidence("“no… idiot”")[0] == 0 and lex.evidence("“idiotic”")[0] == 0
