@@ -6,7 +6,8 @@ matching length. A match of at least `window` words, or of a whole shorter item,
 that no item holds reset the automaton and are skipped as a whole.
 
 Defined cases: null texts have no words; items without words never match; repeated documents and items are rows of
-their own (an item id that repeats counts once); no items -> nothing is hit; other columns are kept untouched.
+their own (an item id that repeats counts once); an item with a null id marks words like any other and is not among the
+items counted; no items -> nothing is hit; other columns are kept untouched.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def words(text: bytes | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton of word-id sequences, with the windows that tell which items occur."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.ids = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -53,7 +54,9 @@ class SuffixAutomaton:
                 last = self._extend(last, c)
             n = min(window, len(seq))
             for i in range(len(seq) - n + 1):
-                self.items_of.setdefault(tuple(seq[i : i + n]), set()).add(name)
+                of = self.items_of.setdefault(tuple(seq[i : i + n]), set())
+                if name is not None:
+                    of.add(name)
             if len(seq) < window:
                 ends.append(seq)
         self.short_lengths = sorted({len(s) for s in ends})
@@ -101,7 +104,7 @@ class SuffixAutomaton:
             if size >= w:
                 yield i + 1 - w, i + 1, self.items_of[tuple(seq[i + 1 - w : i + 1])]
             for n in self.short_lengths:
-                if n <= size and (items := self.items_of.get(tuple(seq[i + 1 - n : i + 1]))):
+                if n <= size and (items := self.items_of.get(tuple(seq[i + 1 - n : i + 1]))) is not None:
                     yield i + 1 - n, i + 1, items
 
     def match(self, ws: list[bytes]):
@@ -131,12 +134,12 @@ def _load(packed: bytes) -> SuffixAutomaton:
 
 def automata(items: DataFrame, text: str = "text", key: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS) -> list[bytes]:
     """Packed item shards of about max_words words at most, one at a time on the driver; each becomes an automaton."""
-    items = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+    items = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = -(-size // (4 * max_words)) or 1
     out = []
     for s in range(shards):
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("k"), F.lit(shards)) == s)
+        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("k", "t")), F.lit(shards)) == s)
         rows = [(r.k, words(r.t.encode("utf-8", "surrogatepass"))) for r in part.orderBy("k", "t").toLocalIterator()]
         out.append(zlib.compress(pickle.dumps((rows, window))))
     return out

@@ -184,3 +184,13 @@ def test_words_beside_signs_outside_ascii():
         assert lex.evidence(t) == lex.evidence(" ".join(toxicity.words(t))) and lex.evidence(t)[0] == 4.0, t
         assert lex.score(t) > lex.score("")
     assert lex.evidence("“morons”")[0] == 3.0 and lex.evidence("“no… idiot”")[0] == 0 and lex.evidence("“idiotic”")[0] == 0
+
+
+def test_item_without_id_marks_words(spark):
+    long, short = " ".join(f"w{i}" for i in range(14)), "only these four words"
+    ddf = spark.createDataFrame([(1, f"before {long} after"), (2, f"x {short} y"), (3, "w0 w1 w2")], "doc_id long, text string")
+    idf = spark.createDataFrame([(None, long), (None, short), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    for limit in (10**6, 1):
+        got = {r.doc_id: r for r in decontaminate.mark(ddf, decontaminate.automata(idf, max_words=limit)).collect()}
+        assert {i: (r.hits, r["items"]) for i, r in got.items()} == {1: ([1, 15], ["5"]), 2: ([1, 5], []), 3: ([], [])}
+    assert {r.doc_id: r.text for r in decontaminate.clean(ddf, idf).collect()} == {1: "before after", 2: "x y", 3: "w0 w1 w2"}
