@@ -226,7 +226,10 @@ def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group stays (the smallest id); rows with a null id stay; a repeated row stays once."""
-    found = near_duplicates(docs, k, text=text, key=key).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    some = docs.filter(F.col(key).isNotNull()).join(found, key, "left_semi").dropDuplicates([key])
+    """One document of each group stays (the smallest id); rows with a null id stay; a repeated row stays once. Rows are
+    named by a hash of id and text, so other texts under one id are documents of their own."""
+    named = docs.filter(F.col(key).isNotNull()).withColumn("__name", F.xxhash64(key, text))
+    groups = near_duplicates(named, k, text=text, key="__name").select(F.col("doc_id").alias("__name"), "component_id")
+    first = named.select(F.struct(key, "__name").alias("row"), "__name").join(groups, "__name").groupBy("component_id").agg(F.min("row").alias("row"))
+    some = named.join(first.select("row.__name"), "__name", "left_semi").dropDuplicates(["__name"]).drop("__name")
     return some.unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)

@@ -54,6 +54,14 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r.doc_id for r in neardup.keep_one(df).collect()), key=str) == [1, None]
 
 
+def test_other_texts_under_one_id_stay(spark):
+    t = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abc"}
+    rows = [(1, t["a"]), (1, t["b"]), (1, t["a"]), (2, t["b"] + " end"), (0, t["c"]), (9, t["c"] + " end"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, t["a"]), (1, t["b"]), (0, t["c"]), (3, None), (3, "")], key=str)
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
