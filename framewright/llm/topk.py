@@ -63,6 +63,28 @@ def bounds(q: np.ndarray, x: np.ndarray, order: np.ndarray, depth: int):
     return lower, upper
 
 
+def read(qids, q, x, own: dict, k: int, floor: np.ndarray):
+    """Reads a block's lists in rounds: the queries with open candidates, and which candidates are open for each. A
+    candidate is out once its upper bound is below the query's k-th lower bound. `floor` is raised in place."""
+    n = len(x)
+    live, opened = np.arange(len(qids)), np.ones((len(qids), n), bool)
+    order = np.argsort(x, axis=0, kind="stable")
+    for part in ROUNDS:
+        lower, upper = bounds(q[live], x, order, max(1, n // part))
+        for a, i in enumerate(live.tolist()):
+            for j in own.get(int(qids[i]), ()):
+                lower[a, j] = upper[a, j] = -np.inf
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        np.maximum(floor[live], kth, out=kth)
+        floor[live] = kth
+        opened &= upper >= kth[:, None]
+        some = opened.any(axis=1)  # others: no outsider can qualify
+        live, opened = live[some], opened[some]
+        if not len(live):
+            break
+    return live, opened
+
+
 def search(qids, q, cids, x, k: int, floor: np.ndarray):
     """Top k of one candidate block for each query: rows (query index, candidate index, score). `floor` holds each
     query's k-th best score so far; it is raised in place."""
@@ -75,31 +97,26 @@ def search(qids, q, cids, x, k: int, floor: np.ndarray):
     own = {}
     for j, c in enumerate(cids.tolist()):
         own.setdefault(c, []).append(j)
-    live = np.arange(len(qids))
+    live, cols = np.arange(len(qids)), np.arange(n)
+    opened = None
     if kind is not object and n > 4 * k:
-        order = np.argsort(x, axis=0, kind="stable")
-        for part in ROUNDS:
-            lower, upper = bounds(q[live], x, order, max(1, n // part))
-            for a, i in enumerate(live.tolist()):
-                for j in own.get(int(qids[i]), ()):
-                    lower[a, j] = upper[a, j] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            np.maximum(floor[live], kth, out=kth)
-            floor[live] = kth
-            live = live[(upper >= kth[:, None]).any(axis=1)]  # others: no outsider can qualify
-            if not len(live):
-                return
-    full = q[live].dot(x.T)
+        live, opened = read(qids, q, x, own, k, floor)
+        if not len(live):
+            return
+        cols = np.flatnonzero(opened.any(axis=0))
+    full = q[live].dot((x if len(cols) == n else x[cols]).T)  # resolves the open ones
+    if opened is not None:
+        full[~opened[:, cols]] = -np.inf
     for a, i in enumerate(live.tolist()):
         s, t = full[a], floor[i]
-        cand = np.flatnonzero(s >= t)
+        at = np.flatnonzero(s >= t)
         if (mine := own.get(int(qids[i]))) is not None:
-            cand = cand[~np.isin(cand, mine)]
-        best = sorted(range(len(cand)), key=lambda z: (-s[cand[z]], cids[cand[z]])) if kind is object else np.lexsort((cids[cand], -s[cand]))
-        cand = cand[best[:k]]
-        if len(cand) == k:
-            floor[i] = max(t, s[cand[-1]])
-        yield i, cand, s[cand]
+            at = at[~np.isin(cols[at], mine)]
+        best = sorted(range(len(at)), key=lambda z: (-s[at[z]], cids[cols[at[z]]])) if kind is object else np.lexsort((cids[cols[at]], -s[at]))
+        at = at[best[:k]]
+        if len(at) == k:
+            floor[i] = max(t, s[at[-1]])
+        yield i, cols[at], s[at]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -194,3 +194,16 @@ def test_item_without_id_marks_words(spark):
         got = {r.doc_id: r for r in decontaminate.mark(ddf, decontaminate.automata(idf, max_words=limit)).collect()}
         assert {i: (r.hits, r["items"]) for i, r in got.items()} == {1: ([1, 15], ["5"]), 2: ([1, 5], []), 3: ([], [])}
     assert {r.doc_id: r.text for r in decontaminate.clean(ddf, idf).collect()} == {1: "before after", 2: "x y", 3: "w0 w1 w2"}
+
+
+def test_top_k_closes_single_candidates():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-10, 10, (2000, 8))
+    x[:, 0] = np.floor(10 / rng.uniform(0.01, 1, 2000)) * rng.choice([-1, 1], 2000)
+    q, cids = rng.integers(1, 3, (6, 8)) * np.array([40, 1, 1, 1, 1, 1, 1, 1]), np.arange(2000)
+    qids, k = np.array([0, 1, 2, -1, -2, -3]), 20
+    live, opened = topk.read(qids, q.astype(float), x.astype(float), {i: [i] for i in range(2000)}, k, np.full(6, -np.inf))
+    assert live.tolist() == list(range(6)) and opened.mean() < 0.5
+    for i, at, scores in topk.search(qids, q, cids, x, k, np.full(6, -np.inf)):
+        want = sorted((-int(q[i] @ x[j]), j) for j in range(2000) if j != qids[i])[:k]
+        assert [(-int(v), int(j)) for j, v in zip(at, scores)] == want and opened[i, at].all()
