@@ -54,6 +54,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def parts_for(spark: SparkSession, items: int, each: int) -> int:
+    """Parts of a shuffle so that none holds much more than `each` of `items`, and no fewer than the session's own."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // each))
+
+
 def as_bytes(col) -> list:
     """An Arrow string column as Python bytes (None for null)."""
     return col.cast(pa.large_binary()).to_pylist()
