@@ -3,16 +3,16 @@
 Each dimension of a block of candidates is a sorted list. For a query, list d is read from its largest product on: from
 the top where the query's component is positive, from the bottom where it is negative. Rounds read all lists of a block
 to the next depth together. What has been read gives each candidate a lower bound (read components plus the list minimum
-for unread ones) and an upper bound (the last value read for unread ones). When a round's upper bounds fall below a
-query's k-th lower bound the candidate is out; a block is read no further for queries without open candidates, and the
-scores of the open ones are resolved from their lists' ends. Both bounds are sums over dimensions of clipped values, so a
-round is a pair of matrix products for all queries of a block.
+for unread ones) and an upper bound (the last value read for unread ones). When a candidate's upper bound falls below a
+query's k-th lower bound it is out for that query; candidates that are out for all queries and queries without open
+candidates are read no further, and the scores of what is still open after the last round are resolved. Both bounds are
+sums over dimensions of clipped values, so a round is a few matrix products for all queries of a block.
 
 Candidates travel as packed blocks, queries as smaller ones; each query block meets each candidate block once and keeps
-k rows from it. Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
-shorter vectors count as ending in zeros; ties go to the smaller id; a candidate with the query's id is its own row and
-skipped; repeated candidate rows are candidates of their own, a repeated query id is asked once; fewer candidates than k give fewer rows;
-other columns are ignored.
+k rows from it. Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ending
+in zeros, an empty one as zeros alone; ties go to the smaller id; a candidate with the query's id is its own row and
+skipped; repeated candidate rows are candidates of their own, a repeated query id is asked once, with the least of its
+vectors; fewer candidates than k give fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = (4, 2)  # a block is read to a 4th, a half and all of its depth
+ROUNDS = (16, 8, 4, 2)  # parts of its depth to which a block is read before what is open is resolved
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 
 
@@ -51,12 +51,15 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "n int, dim int, ids binary, data binary")
 
 
-def bounds(q: np.ndarray, x: np.ndarray, order: np.ndarray, depth: int):
-    """Lower and upper scores of every (query, candidate) when each list of the block is read to `depth`."""
-    n = len(x)
+def marks(x: np.ndarray, order: np.ndarray, depth: int):
+    """Of each list: the last value read from its upper and its lower end at `depth`, its least and its greatest value."""
     cols = np.arange(x.shape[1])
-    top, bottom = x[order[n - depth], cols], x[order[depth - 1], cols]  # last values read from either end
-    least, most = x[order[0], cols], x[order[-1], cols]
+    return x[order[len(x) - depth], cols], x[order[depth - 1], cols], x[order[0], cols], x[order[-1], cols]
+
+
+def bounds(q: np.ndarray, x: np.ndarray, at):
+    """Lower and upper scores of every (query, candidate) when each list is read to its marks."""
+    top, bottom, least, most = at
     pos, neg = np.maximum(q, 0), np.minimum(q, 0)
     upper = pos @ np.maximum(x, top).T + neg @ np.minimum(x, bottom).T
     lower = pos @ np.where(x >= top, x, least).T + neg @ np.where(x <= bottom, x, most).T
@@ -64,25 +67,27 @@ def bounds(q: np.ndarray, x: np.ndarray, order: np.ndarray, depth: int):
 
 
 def read(qids, q, x, own: dict, k: int, floor: np.ndarray):
-    """Reads a block's lists in rounds: the queries with open candidates, and which candidates are open for each. A
-    candidate is out once its upper bound is below the query's k-th lower bound. `floor` is raised in place."""
+    """Reads a block's lists in rounds: (queries with open candidates, candidates open for any, which are open for each).
+    A candidate is out for a query once its upper bound is below the query's k-th lower bound, and read no further once
+    it is out for all. `floor` is raised in place."""
     n = len(x)
-    live, opened = np.arange(len(qids)), np.ones((len(qids), n), bool)
+    live, cols = np.arange(len(qids)), np.arange(n)
+    opened = np.ones((len(qids), n), bool)
     order = np.argsort(x, axis=0, kind="stable")
     for part in ROUNDS:
-        lower, upper = bounds(q[live], x, order, max(1, n // part))
+        lower, upper = bounds(q[live], x[cols], marks(x, order, max(1, n // part)))
         for a, i in enumerate(live.tolist()):
             for j in own.get(int(qids[i]), ()):
-                lower[a, j] = upper[a, j] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+                lower[a, cols == j] = upper[a, cols == j] = -np.inf
+        kth = np.partition(lower, len(cols) - k, axis=1)[:, len(cols) - k] if len(cols) >= k else np.full(len(live), -np.inf)
         np.maximum(floor[live], kth, out=kth)
         floor[live] = kth
         opened &= upper >= kth[:, None]
-        some = opened.any(axis=1)  # others: no outsider can qualify
-        live, opened = live[some], opened[some]
+        some, still = opened.any(axis=1), opened.any(axis=0)  # queries that no outsider can reach; candidates out for all
+        live, cols, opened = live[some], cols[still], opened[np.ix_(some, still)]
         if not len(live):
             break
-    return live, opened
+    return live, cols, opened
 
 
 def search(qids, q, cids, x, k: int, floor: np.ndarray):
@@ -99,14 +104,13 @@ def search(qids, q, cids, x, k: int, floor: np.ndarray):
         own.setdefault(c, []).append(j)
     live, cols = np.arange(len(qids)), np.arange(n)
     opened = None
-    if kind is not object and n > 4 * k:
-        live, opened = read(qids, q, x, own, k, floor)
+    if kind is not object:
+        live, cols, opened = read(qids, q, x, own, k, floor)
         if not len(live):
             return
-        cols = np.flatnonzero(opened.any(axis=0))
     full = q[live].dot((x if len(cols) == n else x[cols]).T)  # resolves the open ones
     if opened is not None:
-        full[~opened[:, cols]] = -np.inf
+        full[~opened] = -np.inf
     for a, i in enumerate(live.tolist()):
         s, t = full[a], floor[i]
         at = np.flatnonzero(s >= t)
@@ -123,7 +127,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Both inputs: id long, v array<long>. Returns query_id, rank, vec_id, score."""
     from .common import stash
 
-    qb = stash(blocks(queries.dropDuplicates(["id"]).repartition(max(1, -(-queries.count() // QUERY_BLOCK))), QUERY_BLOCK).withColumn("qb", F.expr("uuid()")), "topk-queries")
+    qb = stash(blocks(queries.groupBy("id").agg(F.min("v").alias("v")).repartition(max(1, -(-queries.count() // QUERY_BLOCK))), QUERY_BLOCK).withColumn("qb", F.expr("uuid()")), "topk-queries")
     names = sorted(r.qb for r in qb.select("qb").collect())  # one id for each QUERY_BLOCK queries
     if not names:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -153,7 +157,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """id, v: floor(64 * component) of every whole vector of finite components."""
     d = F.col(column).cast("array<double>")
-    fine = d.isNotNull() & (F.size(d) > 0) & F.forall(d, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    fine = d.isNotNull() & F.forall(d, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return vectors.filter(fine & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(d, lambda x: F.floor(x * 64)).alias("v"))
 
 
@@ -166,10 +170,10 @@ def op1_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(coalesce(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)]), 0) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
