@@ -1,11 +1,12 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Documents are tokenised once; a document longer than the sequence length is cut into full pieces behind a shorter first
-one. Pieces and gaps are kept sorted by length: a round takes the longest lengths still waiting and matches all their
-pieces with the smallest gaps that hold them (successor sweep), lower ranks first; the gaps are updated and the next
-round follows. Since lengths are whole numbers up to the sequence length, a round works on runs (length, first rank,
-last rank) and (gap, first sequence, last sequence) rather than on rows, so the plan is a table of a few thousand runs
-whatever the number of pieces; the rows join it by length and rank, all in Spark.
+one. A piece of more than half a sequence begins a sequence of its own; all others wait. Each round sorts waiting pieces
+and open gaps together into ranges of falling size. A task sweeps its range: a piece takes the smallest gap that holds
+it (its successor), and what is left of the gap stays open. Pieces and gaps that a range leaves over meet across ranges:
+from one count of each a range, runs say which leftover piece, by rank, takes which leftover gap of a range before it.
+Then gaps are updated and the next round follows; sequences are opened for what the gaps can't hold in sum, or for all
+that wait if a round placed nothing.
 
 Defined cases: null or empty text is a document of the end id alone; repeated rows are packed as rows of their own;
 an empty table gives an empty result; other columns are ignored.
@@ -13,21 +14,22 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import functools
+import itertools
 import re
 import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_count import BORDER, PATTERN, Pieces
-from .common import tidied
+from .common import discard, stash, tidied
 
 SEQUENCE = 2048
-SALTS = 64
+#: Pieces and gaps that one task sweeps.
+ITEMS_A_RANGE = 500_000
 
 
 class IdEncoder:
@@ -77,9 +79,12 @@ def encoder_for(path: str) -> IdEncoder:
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", size: int = SEQUENCE, end: int = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, salt (a spread of rows for ranking)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, uid (a number of its own once the rows are written)."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        uids = itertools.count(TaskContext.get().partitionId() << 40)
         enc, tail = encoder_for(vocabulary), struct.pack("<I", end)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
@@ -94,65 +99,129 @@ def cut_pieces(docs: DataFrame, vocabulary: str, text: str = "text", key: str =
                     length.append(step)
                     crc.append(zlib.crc32(ids[4 * at : 4 * (at + step)]))
                     at, i, step = at + step, i + 1, size
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(list(itertools.islice(uids, len(doc))), pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(tidied(run, keep="bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def plan_runs(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, last rank + 1, first sequence, offset) of best-fit packing, longest lengths first.
-
-    Pieces `first rank .. last rank` of a length go, in order, to consecutive sequences at one offset."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs [first sequence, end)
-    plan, fresh = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            # the smallest gap that holds the length: a successor search over at most `size` gap classes
-            g = next((g for g in range(length, size) if gaps.get(g)), None)
-            if g is None:
-                n, first, g = left, fresh, size
-                if size // length > 1:  # open as many sequences as the class can fill
-                    n = -(-left // (size // length))
-                fresh += n
+    return rows.mapInArrow(tidied(run, keep="bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long, uid long")
+
+
+def sweep(rows, size: int):
+    """One range's best fit. rows: (size, kind, id) by falling size, gaps (kind 0) before pieces (kind 1) of their size.
+    Returns placements (id, sequence, offset), gaps left (sequence, gap) by falling size, pieces left (id, length), and
+    the least size of the range."""
+    open_: list[list[int]] = [[] for _ in range(size + 1)]
+    have, least = 0, size  # bits of the gap sizes that are open
+    placed, left = [], []
+    for n, kind, who in rows:
+        least = n
+        if kind == 0:
+            open_[n].append(who)
+            have |= 1 << n
+        elif fits := have >> n:
+            g = n + (fits & -fits).bit_length() - 1
+            seq = open_[g].pop()
+            if not open_[g]:
+                have ^= 1 << g
+            placed.append((who, seq, size - g))
+            if g > n:
+                open_[g - n].append(seq)
+                have |= 1 << (g - n)
+        else:
+            left.append((who, n))
+    gaps = [(seq, g) for g in range(size, 0, -1) for seq in open_[g]]
+    return placed, gaps, left, least
+
+
+def meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """counts: (range, leftover gaps that any later range may use, leftover pieces), by range. Runs (range, first rank,
+    end, range of the gaps, rank of the first one's gap): pieces take the gaps nearest before them, the last first."""
+    stack: list[list[int]] = []
+    runs = []
+    for part, gaps, pieces in sorted(counts):
+        at = 0
+        while at < pieces and stack:
+            of, n = stack[-1]
+            k = min(pieces - at, n)
+            runs.append((part, at, at + k, of, n - 1))
+            at += k
+            if k == n:
+                stack.pop()
             else:
-                a, z = gaps[g].pop()
-                n, first = min(left, z - a), a
-                if a + n < z:
-                    gaps[g].append((a + n, z))
-            plan.append((length, rank, rank + n, first, size - g))
-            rank, left = rank + n, left - n
-            if g > length:
-                gaps.setdefault(g - length, []).append((first, first + n))
-    return plan
+                stack[-1][1] -= k
+        if gaps:
+            stack.append([part, gaps])
+    return runs
+
+
+_SWEPT = "what string, part int, at long, id long, seq long, n long"
+
+
+def one_round(items: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """items (n, kind, id) -> (placements (id, seq, offset), state (kind, id, n) of what stays open)."""
+    spark = items.sparkSession
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
+        placed, gaps, left, least = sweep(rows, size)
+        out = [("placed", 0, w, q, o) for w, q, o in placed]
+        out += [("gap" if g >= least else "rest", i, 0, q, g) for i, (q, g) in enumerate(gaps)]  # by falling size: offered gaps come first
+        out += [("piece", i, w, 0, n) for i, (w, n) in enumerate(left)]
+        for i in range(0, len(out), 100_000):
+            what, at, who, seq, n = zip(*out[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array([part] * len(what), pa.int32()), *[pa.array(c, pa.int64()) for c in (at, who, seq, n)]], names=["what", "part", "at", "id", "seq", "n"])
+
+    ranged = items.repartitionByRange(parts, F.desc("n"), "kind", F.xxhash64("id")).sortWithinPartitions(F.desc("n"), "kind", "id")
+    swept = stash(ranged.mapInArrow(tidied(run, keep="bpe"), _SWEPT), "swept")
+    counts: dict[int, list[int]] = {}
+    for r in swept.filter("what IN ('gap', 'piece')").groupBy("part", "what").count().collect():  # two rows a range at most
+        counts.setdefault(r.part, [0, 0])[r.what == "piece"] = r["count"]
+    runs = meet([(p, *c) for p, c in counts.items()])
+    runs = F.broadcast(spark.createDataFrame(runs, "part int, lo long, hi long, gap_part int, gap_at long"))  # two for each range at most
+    pieces = swept.filter("what = 'piece'").alias("w").join(runs.alias("r"), (F.col("w.part") == F.col("r.part")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
+    pieces = pieces.select("id", "n", "gap_part", (F.col("gap_at") - (F.col("at") - F.col("lo"))).alias("gap_at"))
+    gaps = swept.filter("what = 'gap'").select(F.col("part").alias("gap_part"), F.col("at").alias("gap_at"), "seq", F.col("n").alias("gap"))
+    met = pieces.filter("gap_part IS NOT NULL").join(gaps, ["gap_part", "gap_at"]).select("id", "seq", (size - F.col("gap")).alias("offset"), "n")
+    met = stash(met, "met")
+    placed = swept.filter("what = 'placed'").select("id", "seq", F.col("n").alias("offset")).union(met.select("id", "seq", "offset"))
+    gaps = swept.filter("what IN ('gap', 'rest')").select("seq", "n").union(met.select("seq", -F.col("n"))).groupBy("seq").agg(F.sum("n").alias("n")).filter("n > 0")
+    state = gaps.select("n", F.lit(0).alias("kind"), F.col("seq").alias("id")).union(pieces.filter("gap_part IS NULL").select("n", F.lit(1), "id"))
+    return placed, stash(state, "open")
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to the rows of cut_pieces()."""
+    """Adds sequence_id and offset to the rows of cut_pieces(), which must stay the same when read again."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    by = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most size * SALTS small rows
-    counts: dict[int, int] = {}
-    base = []
-    for r in sorted(by, key=lambda r: (r.length, r.salt)):
-        base.append((r.length, r.salt, counts.get(r.length, 0)))
-        counts[r.length] = counts.get(r.length, 0) + r.n
-    bases = spark.createDataFrame(base, "length long, salt int, base long")
-    runs: dict[int, list] = {}
-    for length, lo, hi, first, offset in plan_runs(counts, size):
-        runs.setdefault(length, []).append((lo, hi, first, offset))
-    plan = spark.createDataFrame([(k, v) for k, v in runs.items()], "length long, runs array<struct<lo:long,hi:long,first:long,offset:long>>")
-    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("at", F.row_number().over(w) - 1).join(F.broadcast(bases), ["length", "salt"]).withColumn("rank", F.col("at") + F.col("base"))
-    # bounded: at most `size` lengths, and a few runs for each
-    placed = ranked.join(F.broadcast(plan), "length").withColumn("run", F.filter("runs", lambda r: (r.lo <= F.col("rank")) & (F.col("rank") < r.hi))[0])
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.first") + F.col("rank") - F.col("run.lo")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    alone = F.col("length") > size // 2
+    state = pieces.filter(~alone | (F.col("length") < size)).select(F.when(alone, size - F.col("length")).otherwise(F.col("length")).alias("n"), F.when(alone, 0).otherwise(1).alias("kind"), F.col("uid").alias("id"))
+    placements, opened, last = [], 0, 0
+    while True:
+        w = state.groupBy("kind", "n").count().collect()  # at most two rows a size
+        wait = {r.n: r["count"] for r in w if r.kind == 1}
+        if not wait:
+            break
+        least, need = min(wait), sum(n * c for n, c in wait.items())
+        room = sum(r.n * r["count"] for r in w if r.kind == 0 and r.n >= least)
+        stuck = last == sum(wait.values())
+        fresh = -(-(need if stuck else max(0, need - room)) // size)
+        new = spark.range(opened, opened + fresh).select(F.lit(size).cast("long").alias("n"), F.lit(0).alias("kind"), (-1 - F.col("id")).alias("id"))
+        opened, last = opened + fresh, sum(wait.values())
+        items = state.filter(F.col("n") >= least).union(new)
+        placed, after = one_round(items, -(-(last + sum(r["count"] for r in w if r.kind == 0)) // ITEMS_A_RANGE), size)
+        placements.append(placed)
+        discard(state)
+        state = after
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    out = pieces.filter(alone).select(*columns, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if placements:
+        at = functools.reduce(DataFrame.union, placements).select(F.col("id").alias("uid"), F.col("seq").alias("sequence_id"), "offset")
+        out = out.union(pieces.filter(~alone).join(at, "uid").select(*columns, "sequence_id", "offset"))
+    return out
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", size: int = SEQUENCE) -> DataFrame:
-    from .common import stash
-
     return pack(stash(cut_pieces(docs, vocabulary, text, key, size), "pieces"), size)
 
 
