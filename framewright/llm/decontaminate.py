@@ -1,13 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
-Items are lower-cased (A-Z) and cut into words; an automaton over word ids (all items in one, sharded by item id once
-their words pass MAX_WORDS, so that what is broadcast stays bounded) reads each document's words, keeping the longest
-matching length. A match of at least `window` words, or of a whole shorter item, marks its words as hit. Runs of words
+Items are lower-cased (A-Z) and cut into words; an automaton over word ids (all items in one; beyond MAX_WORDS words in
+shards by item id, each a pass of its own, so that what is broadcast and held stays bounded) reads each document's words,
+keeping the longest matching length. A match of at least `window` words, or of a whole shorter item, marks its words as hit. Runs of words
 that no item holds reset the automaton and are skipped as a whole.
 
 Defined cases: null texts have no words; items without words never match; repeated documents and items are rows of
 their own (an item id that repeats counts once); an item with a null id marks words like any other and is not among the
-items counted; no items -> nothing is hit; other columns are kept untouched.
+items counted; no items -> nothing is hit; other columns are kept untouched, but marks take the
+place of columns of their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import functools
 import pickle
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import tidied
+from .common import as_bytes, free_name, stash, tidied
 
 WINDOW = 10
 #: Words of the items in one automaton.
@@ -127,51 +129,61 @@ class SuffixAutomaton:
         return mask, items
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _load(packed: bytes) -> SuffixAutomaton:
     return SuffixAutomaton(*pickle.loads(zlib.decompress(packed)))
 
 
-def automata(items: DataFrame, text: str = "text", key: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS) -> list[bytes]:
+def automata(items: DataFrame, text: str = "text", key: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[bytes]:
     """Packed item shards of about max_words words at most, one at a time on the driver; each becomes an automaton."""
     items = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = -(-size // (4 * max_words)) or 1
-    out = []
     for s in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64(F.coalesce("k", "t")), F.lit(shards)) == s)
         rows = [(r.k, words(r.t.encode("utf-8", "surrogatepass"))) for r in part.orderBy("k", "t").toLocalIterator()]
-        out.append(zlib.compress(pickle.dumps((rows, window))))
+        yield zlib.compress(pickle.dumps((rows, window)))
+
+
+def mark(docs: DataFrame, shards: Iterable[bytes], text: str = "text", names=("n_words", "hits", "items")) -> DataFrame:
+    """docs plus n_words, hits (word spans [start, end) that any item covers, flattened) and items, in place of columns of
+    these names.
+    Each shard of items is a pass over all documents, written before the next begins: one automaton lives at a time."""
+    docs, out = docs.drop(*names), None
+    for shard in shards:
+        if out is None:
+            out = _pass(docs, shard, text, names, len(docs.columns))
+        else:
+            before = stash(out, "marked")
+            out = _pass(before, shard, text, names, len(docs.columns))
     return out
 
 
-def mark(docs: DataFrame, shards: list[bytes], text: str = "text", names=("n_words", "hits", "items")) -> DataFrame:
-    """docs plus n_words, hits (word spans [start, end) that any item covers, flattened) and items."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(s) for s in shards]
-    narrow = docs.select(*[c for c in docs.columns if c not in names])
-    schema = StructType([*narrow.schema.fields]).add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(StringType()))
+def _pass(docs: DataFrame, shard: bytes, text: str, names, width: int) -> DataFrame:
+    """One shard's pass over documents of `width` columns, with the marks of the passes before it behind them."""
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
+    schema = StructType(docs.schema.fields[:width]).add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(StringType()))
+    at = docs.columns.index(text)
+    marked = len(docs.columns) > width
 
     def run(batches):
-        from .common import as_bytes
-
-        find = [_load(s.value) for s in shared]
+        find = _load(shared.value)
         for b in batches:
             n, hits, items = [], [], []
-            for t in as_bytes(b.column(b.num_columns - 1)):
+            before = zip(b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist()) if marked else repeat(((), ()))
+            for t, (old, of) in zip(as_bytes(b.column(at)), before):
                 ws = words(t)
-                mask, of = None, set()
-                for f in find:
-                    m, i = f.match(ws)
-                    if m is not None:
-                        mask = m if mask is None else mask | m
-                        of |= i
+                mask, more = find.match(ws)
+                if mask is not None:
+                    for a, z in zip(old[::2], old[1::2]):
+                        mask[a:z] = True
+                    old, of = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist(), {*of, *more}
                 n.append(len(ws))
-                hits.append([] if mask is None else np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist())
+                hits.append(old)
                 items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:width], *names])
 
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def n_hit():
@@ -182,7 +194,7 @@ def n_hit():
 def clean(docs: DataFrame, items: DataFrame, max_words: int = 0, max_share: float = 0.0, text: str = "text") -> DataFrame:
     """Removes hit spans, with the signs that follow each removed word, from documents with more than max_words hit
     words and more than the share max_share of their words hit; documents without hits stay byte for byte."""
-    marked = mark(docs, automata(items, text), text, ("__n", "__hits", "__items"))
+    marked = mark(docs, automata(items, text), text, tuple(free_name(docs.columns, c) for c in ("__n", "__hits", "__items")))
     narrow = docs.schema
     at = narrow.names.index(text)
 
