@@ -1,11 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts per (language, hashed 1- to 3-gram) are summed by Spark over a bounded sample of labelled rows; the
-log-probability matrix (languages x 3 * 2**15 float32, so a few hundred kB a language) is broadcast, and whole
-texts are scored in Arrow batches by gathering and segment sums in numpy.
+Counts per (language, hashed 1- to 3-gram), and of documents per language for the prior, are summed by Spark over a
+bounded sample of labelled rows; the log-probability matrix (3 * 2**15 slots and the prior x languages, float32, so a few
+hundred kB a language) is broadcast. The n-grams of many whole texts form one sparse batch, whose scores are one
+gathering of matrix rows and segment sums by text.
 
 Defined cases: null text or no letter -> lang_pred 'und', score 0; no labelled row -> every prediction 'und', score 0;
-repeated rows are each scored; other columns are ignored.
+repeated rows are each scored; of languages with equal scores the first by name is taken; other columns are kept
+untouched, but lang_pred and score take the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def grams(text: str):
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS):
-    """(languages, matrix): log-probabilities, float32 [SLOTS, languages]."""
+    """(languages, matrix): log-probabilities, float32 [SLOTS + 1, languages]; the last row is the prior."""
     from .common import bounded_sample
 
     rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("g")), "k", max_rows)
@@ -47,29 +49,47 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         by: dict[str, np.ndarray] = {}
         for b in batches:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = by.setdefault(g, np.zeros(SLOTS, np.int64))
+                c = by.setdefault(g, np.zeros(SLOTS + 1, np.int64))
+                c[SLOTS] += 1  # documents
                 for i in grams(t):
-                    np.add.at(c, i, 1) if len(i) < 2000 else c.__iadd__(np.bincount(i, minlength=SLOTS))
+                    np.add.at(c, i, 1) if len(i) < 2000 else c.__iadd__(np.bincount(i, minlength=SLOTS + 1))
         for g, c in by.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["g", "slot", "n"])
 
     got = rows.select("t", "g").mapInArrow(tidied(count), "g string, slot int, n long").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column(0).to_pylist()))
-    m = np.full((SLOTS, len(langs)), 0.5, np.float64)
+    m = np.full((SLOTS + 1, len(langs)), 0.5, np.float64)
     if langs:
         at = {g: i for i, g in enumerate(langs)}
         np.add.at(m, (got.column(1).to_numpy(), np.array([at[g] for g in got.column(0).to_pylist()])), got.column(2).to_numpy())
     for o in range(3):
         part = m[o << BITS : (o + 1) << BITS]
         part /= part.sum(axis=0, keepdims=True) if langs else 1
+    m[SLOTS] /= m[SLOTS].sum() if langs else 1
     return langs, np.log(m).astype(np.float32)
 
 
-def score(matrix: np.ndarray, text: str) -> np.ndarray:
-    total = np.zeros(matrix.shape[1])
-    for i in grams(text):
-        total += matrix[i].sum(axis=0, dtype=np.float64)
+def scores(matrix: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Log-probabilities [texts, languages]: sparse batches of at most about two CHUNKs of n-grams."""
+    total = np.tile(matrix[SLOTS].astype(np.float64), (len(texts), 1))
+    slots, who, size = [], [], 0
+
+    def add():
+        starts = np.cumsum([0, *map(len, slots[:-1])])
+        np.add.at(total, who, np.add.reduceat(matrix[np.concatenate(slots)], starts, axis=0, dtype=np.float64))
+
+    for j, text in enumerate(texts):
+        for i in grams(text):
+            if len(i):
+                slots.append(i)
+                who.append(j)
+                size += len(i)
+            if size >= CHUNK:
+                add()
+                slots, who, size = [], [], 0
+    if size:
+        add()
     return total
 
 
@@ -77,28 +97,23 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior probability of that language) added."""
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
-    cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    narrow = docs.select(*cols)
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text)
 
     def run(batches):
         names, m = shared.value
         for b in batches:
-            pred, conf = [], []
-            for t in b.column(b.schema.get_field_index("__text")).to_pylist():
-                if not names or t is None or not any(map(str.isalpha, t)):
-                    pred.append("und")
-                    conf.append(0.0)
-                    continue
-                s = score(m, t)
+            texts = b.column(at).to_pylist()
+            pred, conf = ["und"] * len(texts), [0.0] * len(texts)
+            told = [i for i, t in enumerate(texts) if names and t is not None and any(map(str.isalpha, t))]
+            for i, s in zip(told, scores(m, [texts[i] for i in told]) if told else ()):
                 j = int(s.argmax())
-                pred.append(names[j])
-                conf.append(float(1 / np.exp(s - s[j]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+                pred[i], conf[i] = names[j], float(1 / np.exp(s - s[j]).sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*narrow.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), schema)
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
