@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if driver
+    and executors are one process; on a cluster there is no folder to fall back on."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = getattr(shared_dir, "own", None)
         if d is None:
             d = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="framewright-")
@@ -54,6 +58,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many strokes behind it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_for(spark: SparkSession, items: int, each: int) -> int:
     """Parts of a shuffle so that none holds much more than `each` of `items`, and no fewer than the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // each))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_bytes, discard, mix, parts_for, stash, tidied
+from .common import WORDS, as_bytes, discard, free_name, mix, parts_for, stash, tidied
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS, BLOCK = 56, 6, 1024, 512
@@ -334,9 +334,7 @@ def row_name(key: str, text: str):
 def keep_one(docs: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group stays (the smallest id); rows with a null id stay; a repeated row stays once. Other
     texts under one id are documents of their own."""
-    name = "__name"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "__name")
     named = docs.filter(F.col(key).isNotNull()).withColumn(name, row_name(key, text))
     groups = near_duplicates(named, k, text=text, key=name)
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(name))

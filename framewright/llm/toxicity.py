@@ -6,7 +6,8 @@ of labelled rows; its size is bounded by MAX_TERMS. A document's evidence is the
 same normalised by its length in words; a logistic curve fitted on the same sample turns both into a score.
 
 Defined cases: null and empty texts have no match and get the base score; with no toxic or no clean labelled row the
-lexicon is empty and every score is 0; repeated rows are each scored; other columns are kept untouched.
+lexicon is empty and every score is 0; repeated rows are each scored; other columns are kept untouched, but the
+score takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -187,17 +188,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with the score added as column `out`."""
+    """docs with the score as column `out`, in place of one of that name."""
+    docs = docs.drop(out)
     dumped = lexicon.dump()
-    narrow = docs.select(*[c for c in docs.columns if c != out])
+    at = docs.columns.index(text)
 
     def run(batches):
         lex = load(dumped)
         for b in batches:
-            s = pa.array([lex.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], out])
+            s = pa.array([lex.score(t) for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
 
-    return narrow.withColumn("__text", F.col(text)).mapInArrow(tidied(run), StructType([*narrow.schema.fields]).add(out, DoubleType()))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add(out, DoubleType()))
 
 
 def held_out(key: str = "doc_id"):

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from framewright.llm.common import shared_dir
 from framewright.llm import bpe_count, decontaminate, langid, packing, topk, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,19 +68,49 @@ def test_packing(spark, sf, tok):
     assert packing.pack_documents(docs.limit(0), VOCAB).count() == 0
 
 
-def test_plan_runs_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, size):
+    gaps, out = [], 0
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            out += 1
+            fit = size
+        else:
+            gaps.remove(fit)
+        gaps.append(fit - n)
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_packing_rounds(spark, monkeypatch, ranges):
     rng = np.random.default_rng(3)
-    for size, n in ((16, 40), (50, 200), (2048, 500)):
-        lens = sorted(rng.integers(1, size + 1, n).tolist(), reverse=True)
-        gaps = []
-        for x in lens:
-            fit = [g for g in gaps if g >= x]
-            g = min(fit) if fit else size
-            if fit:
-                gaps.remove(g)
-            gaps.append(g - x)
-        plan = packing.plan_runs(Counter(lens), size)
-        assert max(f + hi - lo for _, lo, hi, f, _ in plan) == len(gaps)
+    lengths = [min(64, max(1, int(x))) for x in rng.lognormal(2.5, 1, 1500)] + [64] * 20 + [33] * 5
+    rows = [(i, 0, 0, n, 0, i * 7) for i, n in enumerate(lengths)]
+    monkeypatch.setattr(packing, "ITEMS_A_RANGE", -(-len(rows) // ranges))
+    sent = []
+    monkeypatch.setattr(packing, "one_round", lambda items, *a, f=packing.one_round: sent.append(1) or f(items, *a))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"), 64).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for ps in by.values():
+        at = 0
+        for o, n in sorted(ps):
+            assert o == at
+            at += n
+        assert at <= 64
+    assert len(by) <= best_fit_decreasing(lengths, 64) + ranges - 1
+    assert len(sent) <= 4 * ranges  # each round is a Spark job over all that waits
+
+
+def test_sweep_takes_the_successor():
+    placed, gaps, left, least = packing.sweep([(10, 0, "a"), (10, 1, 1), (9, 0, "b"), (7, 0, "c"), (7, 1, 2), (5, 1, 3), (5, 1, 4), (3, 1, 5)], 12)
+    assert placed == [(1, "a", 2), (2, "c", 5), (3, "b", 3), (5, "b", 8)] and gaps == [("b", 1)] and left == [(4, 5)] and least == 3
+
+
+def test_leftovers_meet_by_rank():
+    assert packing.meet([(0, 3, 0), (1, 1, 2), (2, 0, 5)]) == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 0)]
 
 
 def brute_hits(text, items):
@@ -136,14 +167,87 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 20).count() == 0
 
 
-def test_top_k_stops_early():
+def test_top_k_bounds_hold_the_score():
     rng = np.random.default_rng(4)
-    x = rng.integers(-10, 10, (4000, 4))
-    q = np.array([[5, 1, 0, 0]])
-    order = np.argsort(x.astype(float), axis=0, kind="stable")
-    lo, up = topk.bounds(q.astype(float), x.astype(float), order, 1000)
-    true = q @ x.T
-    assert (lo <= true).all() and (true <= up).all()
+    x = rng.integers(-10, 10, (4000, 4)).astype(float)
+    q = np.array([[5.0, 1, 0, 0], [-3, 0, 2, -1]])
+    order = np.argsort(x, axis=0, kind="stable")
+    for depth in (1, 1000, 4000):
+        lo, up = topk.bounds(q, x, topk.marks(x, order, depth))
+        assert (lo <= q @ x.T).all() and (q @ x.T <= up).all()
+
+
+def test_top_k_stops_early(monkeypatch):
+    """A few large components decide: lists are read to a small depth, and only a few candidates are resolved."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (4000, 8)).astype(float)
+    x[rng.permutation(4000)[:40], 0] += 500
+    depths = []
+    monkeypatch.setattr(topk, "marks", lambda x, order, depth, f=topk.marks: depths.append(depth) or f(x, order, depth))
+    q = np.array([[5.0, 1, 0, 0, 1, 0, 0, 0]])
+    live, cols, opened = topk.read(np.array([-1]), q, x, {}, 20, np.array([-np.inf]))
+    assert opened.sum() <= 40 and len(cols) <= 40 and depths[0] == 250
+    found = list(topk.search(np.array([-1]), q.astype(int), np.arange(4000), x.astype(int), 20, np.array([-np.inf])))
+    assert [int(s) for _, _, ss in found for s in ss] == sorted((q @ x.T)[0].astype(int).tolist(), reverse=True)[:20]
+    above = float(sorted((q @ x.T)[0])[-1]) + 1
+    assert not len(topk.read(np.array([-1]), q, x, {}, 20, np.array([above]))[0])  # no outsider can reach a higher floor
+
+
+def test_top_k_odd_vectors(spark):
+    """Empty vectors are zeros, a repeated query id is asked once, extra columns are ignored."""
+    df = spark.createDataFrame([(0, [], 1), (20, [1.0], 2), (20, [0.5], 3), (1, [1.0, 1.0], 4), (2, [-1.0], 5)], "vec_id long, embedding array<float>, rank int")
+    v = topk.quantised(df)
+    got = sorted(tuple(r) for r in topk.top_k(v, v.filter("id % 20 = 0"), 3).collect())
+    assert got == [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 20, 0), (20, 1, 1, 2048), (20, 2, 0, 0), (20, 3, 2, -2048)]
+
+
+def test_new_columns_take_the_place_of_old_ones(spark):
+    df = spark.createDataFrame([(1, "a text", "x")], "doc_id long, text string, __text string")
+    assert toxicity.score(df, toxicity.Lexicon({"text ": 5.0}, (), (0, 1, 0))).columns == [*df.columns, "toxicity"]
+    assert langid.predict(df, langid.fit(df.selectExpr("doc_id", "text", "'en' AS lang"))).first().lang_pred == "en"
+    assert decontaminate.mark(df, decontaminate.automata(df.selectExpr("doc_id AS item_id", "text"))).first().hits == [0, 2]
+    old = df.withColumnRenamed("__text", "score")
+    assert toxicity.score(old, toxicity.Lexicon({}), out="score").first().score == 0
+    assert langid.predict(old, langid.fit(df.limit(0).selectExpr("doc_id", "text", "'en' AS lang"))).columns == ["doc_id", "text", "lang_pred", "score"]
+    assert decontaminate.mark(old, decontaminate.automata(df.selectExpr("doc_id AS item_id", "text")), names=("score", "hits", "items")).first().score == 2
+
+
+def test_no_folder_of_a_machine_on_a_cluster():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+
+
+def test_language_scores_by_hand(spark, sf):
+    """Batches of many texts against one sum for each text, n-gram by n-gram."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, m = langid.fit(docs)
+    texts = [r.text for r in docs.filter("text IS NOT NULL").limit(40).collect()] + ["x", "", "é ü"]
+    for t, got in zip(texts, langid.scores(m, texts)):
+        want = m[langid.SLOTS].astype(float) + sum((m[int(i)].astype(float) for part in langid.grams(t) for i in part), np.zeros(len(langs)))
+        assert np.allclose(got, want)
+    n = {r.lang: r.n for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert np.allclose(np.exp(m[langid.SLOTS]), [(n[g] + 0.5) / sum(c + 0.5 for c in n.values()) for g in langs], atol=1e-6)
+
+
+def test_toxicity_scores_by_hand(spark, sf):
+    """The automaton against every term at every word of the folded text."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lex = toxicity.fit_tables(docs, labels)
+    for t in [r.text for r in docs.collect()] + ["", None]:
+        ws, weight = toxicity.words(t), 0.0
+        line = " " + " ".join(ws) + " "
+        spared = {i for e in lex.exceptions for i in range(len(line)) if line.startswith(f" {e} ", i)}
+        starts = [i for i, c in enumerate(line) if c == " "][:-1]
+        for i in starts:
+            inside = any(j <= i < j + len(e) + 1 for e in lex.exceptions for j in spared if line.startswith(f" {e} ", j))
+            if not inside:
+                weight += max((w for term, w in lex.terms.items() if line.startswith(" " + term, i)), default=0.0)
+        total, dense = lex.evidence(t)
+        assert abs(total - weight) < 1e-6 and abs(dense - 100 * weight / max(1, len(ws))) < 1e-6
 
 
 def test_language_id(spark):
@@ -202,8 +306,8 @@ def test_top_k_closes_single_candidates():
     x[:, 0] = np.floor(10 / rng.uniform(0.01, 1, 2000)) * rng.choice([-1, 1], 2000)
     q, cids = rng.integers(1, 3, (6, 8)) * np.array([40, 1, 1, 1, 1, 1, 1, 1]), np.arange(2000)
     qids, k = np.array([0, 1, 2, -1, -2, -3]), 20
-    live, opened = topk.read(qids, q.astype(float), x.astype(float), {i: [i] for i in range(2000)}, k, np.full(6, -np.inf))
-    assert live.tolist() == list(range(6)) and opened.mean() < 0.5
+    live, cols, opened = topk.read(qids, q.astype(float), x.astype(float), {i: [i] for i in range(2000)}, k, np.full(6, -np.inf))
+    assert live.tolist() == list(range(6)) and opened.sum() < 0.5 * 6 * 2000
     for i, at, scores in topk.search(qids, q, cids, x, k, np.full(6, -np.inf)):
         want = sorted((-int(q[i] @ x[j]), j) for j in range(2000) if j != qids[i])[:k]
-        assert [(-int(v), int(j)) for j, v in zip(at, scores)] == want and opened[i, at].all()
+        assert [(-int(v), int(j)) for j, v in zip(at, scores)] == want and opened[i, np.searchsorted(cols, at)].all()
