@@ -1,8 +1,8 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Documents are tokenised once; a document longer than the sequence length is cut into full pieces behind a shorter first
-one. A piece of more than half a sequence begins a sequence of its own; all others wait. Each round sorts waiting pieces
-and open gaps together into ranges of falling size. A task sweeps its range: a piece takes the smallest gap that holds
+one. A piece of more than half a sequence begins a sequence of its own; all others wait. Each round counts waiting pieces
+and open gaps by size and sorts them together into ranges of falling size. A task sweeps its range: a piece takes the smallest gap that holds
 it (its successor), and what is left of the gap stays open. Pieces and gaps that a range leaves over meet across ranges:
 from one count of each a range, runs say which leftover piece, by rank, takes which leftover gap of a range before it.
 Then gaps are updated and the next round follows; sequences are opened for what the gaps can't hold in sum, or for all
@@ -21,7 +21,7 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_count import BORDER, PATTERN, Pieces
@@ -132,32 +132,48 @@ def sweep(rows, size: int):
     return placed, gaps, left, least
 
 
-def meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """counts: (range, leftover gaps that any later range may use, leftover pieces), by range. Runs (range, first rank,
-    end, range of the gaps, rank of the first one's gap): pieces take the gaps nearest before them, the last first."""
+def meet(counts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """counts: (range, leftover gaps that any later range may use, the least of them, leftover pieces, the longest of
+    them), by range. Runs (range, first rank, end, range of the gaps, rank of the first one's gap, pieces for a gap):
+    pieces take the gaps nearest before them, the last first, as many to a gap as fit at the longest."""
     stack: list[list[int]] = []
     runs = []
-    for part, gaps, pieces in sorted(counts):
+    for part, gaps, least, pieces, longest in sorted(counts):
         at = 0
         while at < pieces and stack:
-            of, n = stack[-1]
-            k = min(pieces - at, n)
-            runs.append((part, at, at + k, of, n - 1))
+            of, n, room = stack[-1]
+            each = max(1, room // longest)
+            k = min(pieces - at, n * each)
+            runs.append((part, at, at + k, of, n - 1, each))
             at += k
-            if k == n:
+            stack[-1][1] -= -(-k // each)
+            if not stack[-1][1]:
                 stack.pop()
-            else:
-                stack[-1][1] -= k
         if gaps:
-            stack.append([part, gaps])
+            stack.append([part, gaps, least])
     return runs
 
 
+def ranges(counts: dict[tuple[int, int], int], each: int) -> list[tuple[int, int, int, int]]:
+    """counts: (size, kind) -> items. (size, kind, first range, ranges) by falling size, gaps first: a range holds whole
+    sizes up to about `each` items; a size of more is dealt over ranges of its own."""
+    out, at, held = [], 0, 0
+    for (n, kind), c in sorted(counts.items(), key=lambda x: (-x[0][0], x[0][1])):
+        split = -(-c // each)
+        if held and held + c > each:
+            at, held = at + 1, 0
+        out.append((n, kind, at, split))
+        held += c
+        if split > 1:
+            at, held = at + split, 0
+    return out
+
+
 _SWEPT = "what string, part int, at long, id long, seq long, n long"
 
 
-def one_round(items: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """items (n, kind, id) -> (placements (id, seq, offset), state (kind, id, n) of what stays open)."""
+def one_round(items: DataFrame, counts: dict[tuple[int, int], int], size: int) -> tuple[DataFrame, DataFrame]:
+    """items (n, kind, id), counted by (n, kind) -> (placements (id, seq, offset), state (n, kind, id) of what stays open)."""
     spark = items.sparkSession
 
     def run(batches):
@@ -173,18 +189,21 @@ def one_round(items: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataF
             what, at, who, seq, n = zip(*out[i : i + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(what), pa.array([part] * len(what), pa.int32()), *[pa.array(c, pa.int64()) for c in (at, who, seq, n)]], names=["what", "part", "at", "id", "seq", "n"])
 
-    ranged = items.repartitionByRange(parts, F.desc("n"), "kind", F.xxhash64("id")).sortWithinPartitions(F.desc("n"), "kind", "id")
+    cut = ranges(counts, ITEMS_A_RANGE)
+    cuts = F.broadcast(spark.createDataFrame(cut, "n long, kind int, first int, split int"))  # at most two rows a size
+    ranged = items.join(cuts, ["n", "kind"]).withColumn("part", F.col("first") + F.pmod(F.xxhash64("id"), F.col("split")).cast("int"))
+    ranged = ranged.repartitionById(cut[-1][2] + cut[-1][3], F.col("part")).select("n", "kind", "id").sortWithinPartitions(F.desc("n"), "kind", "id")
     swept = stash(ranged.mapInArrow(tidied(run, keep="bpe"), _SWEPT), "swept")
-    counts: dict[int, list[int]] = {}
-    for r in swept.filter("what IN ('gap', 'piece')").groupBy("part", "what").count().collect():  # two rows a range at most
-        counts.setdefault(r.part, [0, 0])[r.what == "piece"] = r["count"]
-    runs = meet([(p, *c) for p, c in counts.items()])
-    runs = F.broadcast(spark.createDataFrame(runs, "part int, lo long, hi long, gap_part int, gap_at long"))  # two for each range at most
+    left: dict[int, list[int]] = {}
+    for r in swept.filter("what IN ('gap', 'piece')").groupBy("part", "what").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect():  # two rows a range at most
+        at = left.setdefault(r.part, [0, 0, 0, 0])
+        at[slice(2, 4) if r.what == "piece" else slice(0, 2)] = [r.c, r.hi if r.what == "piece" else r.lo]
+    runs = F.broadcast(spark.createDataFrame(meet([(p, *c) for p, c in left.items()]), "part int, lo long, hi long, gap_part int, gap_at long, each long"))  # two for each range at most
     pieces = swept.filter("what = 'piece'").alias("w").join(runs.alias("r"), (F.col("w.part") == F.col("r.part")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
-    pieces = pieces.select("id", "n", "gap_part", (F.col("gap_at") - (F.col("at") - F.col("lo"))).alias("gap_at"))
+    pieces = pieces.select("id", "n", "at", "gap_part", F.expr("gap_at - (at - lo) div each").alias("gap_at"))
     gaps = swept.filter("what = 'gap'").select(F.col("part").alias("gap_part"), F.col("at").alias("gap_at"), "seq", F.col("n").alias("gap"))
-    met = pieces.filter("gap_part IS NOT NULL").join(gaps, ["gap_part", "gap_at"]).select("id", "seq", (size - F.col("gap")).alias("offset"), "n")
-    met = stash(met, "met")
+    before = F.sum("n").over(Window.partitionBy("gap_part", "gap_at").orderBy("at")) - F.col("n")  # at most `size` pieces a gap
+    met = stash(pieces.filter("gap_part IS NOT NULL").join(gaps, ["gap_part", "gap_at"]).select("id", "seq", (size - F.col("gap") + before).alias("offset"), "n"), "met")
     placed = swept.filter("what = 'placed'").select("id", "seq", F.col("n").alias("offset")).union(met.select("id", "seq", "offset"))
     gaps = swept.filter("what IN ('gap', 'rest')").select("seq", "n").union(met.select("seq", -F.col("n"))).groupBy("seq").agg(F.sum("n").alias("n")).filter("n > 0")
     state = gaps.select("n", F.lit(0).alias("kind"), F.col("seq").alias("id")).union(pieces.filter("gap_part IS NULL").select("n", F.lit(1), "id"))
@@ -209,7 +228,9 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         new = spark.range(opened, opened + fresh).select(F.lit(size).cast("long").alias("n"), F.lit(0).alias("kind"), (-1 - F.col("id")).alias("id"))
         opened, last = opened + fresh, sum(wait.values())
         items = state.filter(F.col("n") >= least).union(new)
-        placed, after = one_round(items, -(-(last + sum(r["count"] for r in w if r.kind == 0)) // ITEMS_A_RANGE), size)
+        counts = {(r.n, r.kind): r["count"] for r in w if r.n >= least}
+        counts[size, 0] = counts.get((size, 0), 0) + fresh
+        placed, after = one_round(items, counts, size)
         placements.append(placed)
         discard(state)
         state = after

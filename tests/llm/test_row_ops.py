@@ -84,7 +84,7 @@ def best_fit_decreasing(lengths, size):
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_packing_rounds(spark, monkeypatch, ranges):
     rng = np.random.default_rng(3)
-    lengths = [min(64, max(1, int(x))) for x in rng.lognormal(2.5, 1, 1500)] + [64] * 20 + [33] * 5
+    lengths = [min(64, max(1, int(x))) for x in rng.lognormal(2.5, 1, 1500)] + [64] * 20 + [33] * 5 + [2] * 900
     rows = [(i, 0, 0, n, 0, i * 7) for i, n in enumerate(lengths)]
     monkeypatch.setattr(packing, "ITEMS_A_RANGE", -(-len(rows) // ranges))
     sent = []
@@ -101,7 +101,7 @@ def test_packing_rounds(spark, monkeypatch, ranges):
             at += n
         assert at <= 64
     assert len(by) <= best_fit_decreasing(lengths, 64) + ranges - 1
-    assert len(sent) <= 4 * ranges  # each round is a Spark job over all that waits
+    assert len(sent) <= 8  # each round is a Spark job over all that waits
 
 
 def test_sweep_takes_the_successor():
@@ -110,7 +110,14 @@ def test_sweep_takes_the_successor():
 
 
 def test_leftovers_meet_by_rank():
-    assert packing.meet([(0, 3, 0), (1, 1, 2), (2, 0, 5)]) == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 0)]
+    assert packing.meet([(0, 3, 9, 0, 0), (1, 1, 8, 2, 8), (2, 0, 0, 5, 7)]) == [(1, 0, 2, 0, 2, 1), (2, 0, 1, 1, 0, 1), (2, 1, 2, 0, 0, 1)]
+    assert packing.meet([(0, 3, 9, 0, 0), (1, 0, 0, 9, 4)]) == [(1, 0, 6, 0, 2, 2)]
+    assert packing.meet([(0, 3, 9, 0, 0), (1, 0, 0, 3, 4), (2, 0, 0, 4, 1)]) == [(1, 0, 3, 0, 2, 2), (2, 0, 4, 0, 0, 9)]
+
+
+def test_ranges_hold_whole_sizes_or_parts_of_one():
+    got = packing.ranges({(9, 0): 2, (9, 1): 3, (5, 1): 25, (4, 0): 1, (4, 1): 4, (3, 1): 6}, 10)
+    assert got == [(9, 0, 0, 1), (9, 1, 0, 1), (5, 1, 1, 3), (4, 0, 4, 1), (4, 1, 4, 1), (3, 1, 5, 1)]
 
 
 def brute_hits(text, items):
