@@ -43,6 +43,52 @@ def guess_sample_aspect(w: Column, h: Column, dar_n: Column, dar_d: Column) -> C
     return out
 
 
+def frame_rate(code: Column) -> Column:
+    """STRUCT<n, d> of a frame rate code; null for codes that stand for none."""
+    table = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d")) for n, d in FRAME_RATES])
+    return F.get(table, code.cast("int") - 1)
+
+
+def frame_rate_code(n: Column, d: Column) -> Column:
+    """The code of a frame rate, 0 for one without."""
+    out = F.lit(0)
+    for i, (a, b) in enumerate(FRAME_RATES, 1):
+        out = F.when(n * b == d * a, i).otherwise(out)
+    return out
+
+
+def parse_geometry(text: Column) -> Column:
+    """'WxH' or 'WxH+X+Y' (signs of X and Y at will) -> STRUCT<w, h, x, y>, x and y 0 where not told; else null."""
+    rule = r"^(\d+)x(\d+)(?:([+-]\d+)([+-]\d+))?$"
+    part = lambda k: F.regexp_extract(text, rule, k).try_cast("long")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("w"), part(2).alias("h"), F.coalesce(part(3), F.lit(0)).alias("x"), F.coalesce(part(4), F.lit(0)).alias("y")))
+
+
+def add_tag(tags: Column, tag: Column) -> Column:
+    """A tag behind the others, once."""
+    return F.when(F.array_contains(tags, tag), tags).otherwise(F.array_append(tags, tag))
+
+
+def drop_tag(tags: Column, tag: Column) -> Column:
+    return F.filter(tags, lambda t: t != tag)
+
+
+def merge_tags(a: Column, b: Column) -> Column:
+    """a, and what of b is not in a."""
+    return F.concat(a, F.filter(b, lambda t: ~F.array_contains(a, t)))
+
+
+def matches(name: Column, pattern: Column, mode: str, case: bool = True) -> Column:
+    """Whether a name is, begins with, ends with or holds a pattern."""
+    a, b = (name, pattern) if case else (F.lower(name), F.lower(pattern))
+    return {"equal": a == b, "start": F.startswith(a, b), "end": F.endswith(a, b), "anywhere": F.contains(a, b)}[mode]
+
+
+def guide_time(days: Column, slot: Column) -> Column:
+    """A listing page's day and second -> seconds since 1970, on whole five minutes."""
+    return F.floor((days * 86400 + slot + 290) / 300) * 300
+
+
 def time_code(f: Column, code: int = 5) -> Column:
     """Frame number -> STRUCT<h, m, s, f> at the whole rate of a frame rate code."""
     r = WHOLE_RATES[code - 1]
@@ -114,6 +160,14 @@ def substitute(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def between_points(points: list[tuple[int, int]], at: Column) -> Column:
+    """A parameter at a frame, on the line between control points (frame, value), truncated; the ends hold beyond them."""
+    out = F.lit(points[-1][1])
+    for (a, x), (b, y) in reversed(list(zip(points, points[1:]))):
+        out = F.when(at < b, F.lit(x) + cdiv((at - a) * (y - x), b - a)).otherwise(out)
+    return F.when(at < points[0][0], points[0][1]).otherwise(out)
+
+
 # Weights of the resampler: kernel name -> (support, k(t) for t >= 0).
 
 

@@ -96,16 +96,17 @@ def dequantise_inter(block: Column, scale: int, matrix: list[int] = FLAT) -> Col
     return _mismatch(out)
 
 
-@bound
-def eliminate_singles(block: Column, least: int) -> Column:
-    """A block whose coefficients beyond the first are all 0 or +-1 loses them when they are worth less than `least`:
-    each is worth 3, 2 or 1, the less the farther along the zigzag it stands."""
-    scan = F.array(*[F.lit(i) for i in zigzag()])
-    run = F.transform(F.slice(scan, 2, 63), lambda k: at(block, k))
-    small = F.forall(run, lambda v: F.abs(v) <= 1)
-    worth = F.array(*[F.lit(3 if k < 6 else 2 if k < 20 else 1).cast("long") for k in range(1, 64)])
-    score = total(F.zip_with(run, worth, lambda v, s: F.when(v == 0, 0).otherwise(s).cast("long")))
-    return F.when(small & (score < least), F.concat(F.slice(block, 1, 1), F.array_repeat(F.lit(0).cast("long"), 63))).otherwise(block)
+# What a unit coefficient is worth by the zeros before it; beyond, nothing.
+UNIT_WORTH = [3, 2, 2] + [1] * 21
+# Bits of the published code (table B-14) for a run of zeros (row) before levels 1, 2, ..., without sign.
+CODE_BITS = [
+    [2, 4, 5, 7, 8, 8, 10, 12, 12, 12, 12, 13, 13, 13, 13] + [14] * 16 + [15] * 9,
+    [3, 6, 8, 10, 12, 13, 13] + [15] * 7 + [16] * 4,
+    [4, 7, 10, 12, 13], [5, 8, 12, 13], [5, 10, 12], [6, 10, 13], [6, 12, 16], [6, 12], [7, 12], [7, 13], [8, 13],
+    [8, 16], [8, 16], [8, 16], [10, 16], [10, 16], [10, 16],
+    [12], [12], [12], [12], [12], [13], [13], [13], [13], [13], [16], [16], [16], [16], [16],
+]
+ESCAPE_BITS, END_BITS = 24, 2
 
 
 @bound
@@ -117,8 +118,23 @@ def run_levels(block: Column) -> Column:
     return let(F.filter(v, lambda e: e.v != 0), pairs)
 
 
-def coded_bits(block: Column, escape: int = 24, end: int = 2) -> Column:
-    """Size-only coding: a pair (run, level) takes 2 bits for each bit of its level and one for each two zeros before
-    it, plus a sign, an escape at most; an end mark follows. A regular code that orders blocks as the real one does."""
-    pair = lambda e: F.least(1 + 2 * F.length(F.bin(F.abs(e.level))).cast("long") + cdiv(e.run + 1, 2), F.lit(escape).cast("long"))
-    return total(F.transform(run_levels(block), pair)) + end
+@bound
+def eliminate_singles(block: Column, least: int) -> Column:
+    """A block whose coefficients beyond the first are all 0 or +-1 loses them when together they are worth less than
+    `least`: each is worth the more the fewer zeros stand before it. A first coefficient over 1 keeps the block whole."""
+    worth = F.array(*[F.lit(v).cast("long") for v in UNIT_WORTH])
+    zeroed = F.concat(F.slice(block, 1, 1), F.array_repeat(F.lit(0).cast("long"), 63))
+
+    def rest(pairs):
+        score = total(F.transform(pairs, lambda e: F.coalesce(F.get(worth, e.run.cast("int")), F.lit(0).cast("long"))))
+        return F.when((at(block, F.lit(0)) <= 1) & F.forall(pairs, lambda e: F.abs(e.level) <= 1) & (score < least), zeroed).otherwise(block)
+
+    return let(run_levels(block), rest)
+
+
+def coded_bits(block: Column) -> Column:
+    """Bits of a block's coefficients past the first: code and sign of each (run, level), an escape where there is no
+    code, and the end mark."""
+    table = F.array(*[F.array(*[F.lit(v).cast("long") for v in r]) for r in CODE_BITS])
+    pair = lambda e: F.coalesce(F.get(F.get(table, e.run.cast("int")), F.abs(e.level).cast("int") - 1) + 1, F.lit(ESCAPE_BITS).cast("long"))
+    return total(F.transform(run_levels(block), pair)) + END_BITS

@@ -23,6 +23,13 @@ def interleave(a: DataFrame, b: DataFrame, frame: str, compat: bool = False) ->
     return left.unionByName(right)
 
 
+def interleave_keyed(a: DataFrame, b: DataFrame, key: str, frame: str) -> DataFrame:
+    """Alternate reading of two inputs of every key, up to the end of the shorter: out_frame beside the columns."""
+    on = [key, frame]
+    left = a.join(b.select(*on), on, "left_semi").withColumn("out_frame", F.col(frame) * 2)
+    return left.unionByName(b.join(a.select(*on), on, "left_semi").withColumn("out_frame", F.col(frame) * 2 + 1))
+
+
 def zip_streams(streams: list[tuple[DataFrame, int]], frame: str) -> DataFrame:
     """Positional zip: each (df, offset) gives its row at frame - offset; columns of the k-th get the suffix _k."""
     out = None

@@ -286,7 +286,7 @@ def resample(p: Column, w: int, h: int, ow: int, oh: int, kernel: str = "cubic")
     else:
         first, second = (across(h), down(ow)) if ow / w <= oh / h else (down(w), across(oh))
         q = let(q, lambda p: let(first(p), second))
-    return F.transform(q, lambda v: clip(F.floor(v + 0.5), 0, 255))
+    return F.transform(q, lambda v: clip(F.floor(F.round(v, 6) + 0.5), 0, 255))  # a millionth decides nothing
 
 
 @bound

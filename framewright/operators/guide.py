@@ -79,3 +79,17 @@ def append_entries(old: DataFrame, new: DataFrame, key: list[str], start: str, s
     for c in ("__a", "__z"):
         marks = marks.join(seen.withColumnRenamed("m", c), [*key, c], "left_anti")
     return coalesce_listings(old.select(*key, start, stop).unionByName(marks.select(*key, start, stop)), key, start, stop)
+
+
+def put_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The table with rows put in: those of a known key take the place of the old ones, others are new."""
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def drop_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def minutes(start: Column, stop: Column) -> Column:
+    """Whole minutes of a listing."""
+    return F.call_function("div", stop - start, F.lit(60))

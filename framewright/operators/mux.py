@@ -49,11 +49,16 @@ def packets(df: DataFrame, stream: str, order: list[str], size: str, packet: int
 
 
 def align(df: DataFrame, stream: str, stamp: str) -> DataFrame:
-    """Adds aligned: time since the first stamp of all streams, each stream moved to begin with it."""
+    """Adds aligned: a stream's stamps moved so that each stream begins at 0."""
     first = F.min(stamp).over(Window.partitionBy(stream))
     return df.withColumn("aligned", F.col(stamp) - first)
 
 
+def align_to_base(df: DataFrame, stamp: str) -> DataFrame:
+    """Adds aligned: time since the first stamp of all streams, so that streams keep their distances."""
+    return df.withColumn("aligned", F.col(stamp) - F.lit(df.agg(F.min(stamp)).first()[0]))
+
+
 def access_units(df: DataFrame, key: str, text: str, token: str) -> DataFrame:
     """Cuts each payload where a start token stands: key, unit, start (characters from 0), length. What stands before
     the first token is unit 0 if there is any; null holds no unit. One pass over each text, no shuffle."""

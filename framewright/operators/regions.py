@@ -58,3 +58,11 @@ def free_gaps(df: DataFrame, key: list[str], start: str, stop: str) -> DataFrame
     merged = union(df, key, start, stop)
     w = Window.partitionBy(*key).orderBy(start)
     return merged.select(*key, F.col(stop).alias(start), F.lead(start).over(w).alias(stop)).filter(F.col(stop).isNotNull())
+
+
+def first_fit(df: DataFrame, key: list[str], size: int, start: str = "x0", stop: str = "x1") -> DataFrame:
+    """Where `size` units go among each key's allocated extents: the first gap that holds them, else behind the last."""
+    merged = union(df, key, start, stop)
+    w = Window.partitionBy(*key).orderBy(start)
+    room = merged.select(*key, F.col(stop).alias(start), F.lead(start).over(w).alias("__next"))
+    return room.filter(F.col("__next").isNull() | (F.col("__next") - F.col(start) >= size)).groupBy(*key).agg(F.min(start).alias(start))

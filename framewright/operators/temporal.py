@@ -13,10 +13,11 @@ def ordered(key: str, order: str):
 
 
 def scene_cuts(df: DataFrame, key: str, order: str, mean: Column, file: str | None, threshold: int = 4) -> DataFrame:
-    """Adds scene: a new one where the mean leaves the one before by more than the threshold, or the file changes."""
+    """Adds scene: a new one where the mean leaves the one before by more than the threshold, the file changes, or a
+    frame is not the one before plus 1."""
     w = ordered(key, order)
     d = df.withColumn("__m", mean)
-    cut = F.abs(F.col("__m") - F.lag("__m").over(w)) > threshold
+    cut = (F.abs(F.col("__m") - F.lag("__m").over(w)) > threshold) | (F.col(order) != F.lag(order).over(w) + 1)
     if file:
         cut |= F.col(file) != F.lag(file).over(w)
     d = d.withColumn("__cut", F.coalesce(cut, F.lit(True)).cast("long"))
@@ -156,3 +157,20 @@ def crosstalk(df: DataFrame, key: str, order: str, value: str, threshold: int) -
 def interpolated(from_: Column, to: Column, step: Column, steps: int) -> Column:
     """A parameter on its way over a range of frames."""
     return from_ + (to - from_) * step / max(steps - 1, 1)
+
+
+def clip_samples(runs: DataFrame, key: str, order: str, frames: str, rate: int, fps_n: int, fps_d: int) -> DataFrame:
+    """Clips one behind the other: the first and last + 1 sample of each, so that sound follows the frames before it."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(frames).over(w)
+    sample = lambda n: cdiv(n * rate * fps_d, fps_n)
+    return runs.withColumn("first_sample", sample(end - F.col(frames))).withColumn("last_sample", sample(end))
+
+
+def framed_samples(samples: DataFrame, key: str, at: str, value: str, rate: int, fps_n: int, fps_d: int) -> DataFrame:
+    """The samples of each video frame, as far as a stream has any: key, frame, n, total; a frame without is silence."""
+    top = samples.groupBy(key).agg(F.max(at).alias("__top"))
+    frame = lambda s: cdiv((s + 1) * fps_n - 1, rate * fps_d)  # noqa: E731  the frame whose range holds sample s
+    grid = top.select(key, F.explode(F.sequence(F.lit(0).cast("long"), frame(F.col("__top")))).alias("frame"))
+    got = samples.groupBy(key, frame(F.col(at)).alias("frame")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return grid.join(got, [key, "frame"], "left").fillna(0, ["n", "total"])

@@ -349,7 +349,7 @@ def activity(spark, sf):
 
 
 def scene_sql(key: str, change: str, threshold: int) -> str:
-    return f"""WITH {FR}, m AS (SELECT *, CASE WHEN abs(floor(v) - lag(floor(v)) OVER w) <= {threshold} {change} THEN 0 ELSE 1 END AS b FROM fr WINDOW w AS (PARTITION BY {key} ORDER BY n)),
+    return f"""WITH {FR}, m AS (SELECT *, CASE WHEN abs(floor(v) - lag(floor(v)) OVER w) <= {threshold} AND n = lag(n) OVER w + 1 {change} THEN 0 ELSE 1 END AS b FROM fr WINDOW w AS (PARTITION BY {key} ORDER BY n)),
 k AS (SELECT *, sum(b) OVER (PARTITION BY {key} ORDER BY n) - 1 AS scene FROM m)"""
 
 
@@ -438,13 +438,12 @@ def audio_ranges(spark, sf):
 # Combinations.
 
 
-@query("ypipe", f"""WITH {FR}, a AS (SELECT n, event_id FROM fr WHERE user_id = (SELECT min(user_id) FROM fr)), b AS (SELECT n, event_id FROM fr WHERE user_id = (SELECT max(user_id) FROM fr))
-SELECT a.n * 2 AS out_frame, a.event_id FROM a JOIN b USING (n) UNION ALL SELECT b.n * 2 + 1, b.event_id FROM a JOIN b USING (n)""")
+@query("ypipe", f"""WITH {FR} SELECT a.user_id, a.n * 2 AS out_frame, a.event_id FROM fr a JOIN fr b ON b.user_id = a.user_id + 1 AND b.n = a.n
+UNION ALL SELECT a.user_id, b.n * 2 + 1, b.event_id FROM fr a JOIN fr b ON b.user_id = a.user_id + 1 AND b.n = a.n""")
 def ypipe(spark, sf):
+    """Each stream with that of the next user."""
     f = frames(spark, sf).select("user_id", "n", "event_id")
-    ends = table(spark, sf, "events").agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
-    pick = lambda c: f.join(F.broadcast(ends.select(F.col(c).alias("user_id"))), "user_id").drop("user_id")  # noqa: E731  one row
-    return combine.interleave(pick("lo"), pick("hi"), "n").select("out_frame", "event_id")
+    return combine.interleave_keyed(f, f.withColumn("user_id", F.col("user_id") - 1), "user_id", "n").select("user_id", "out_frame", "event_id")
 
 
 @query("zip_streams", f"WITH {FR} SELECT a.user_id, a.n, a.event_id AS event_id_0, b.event_id AS event_id_1, c.event_id AS event_id_2 FROM fr a JOIN fr b ON b.user_id = a.user_id AND b.n = a.n - 2 JOIN fr c ON c.user_id = a.user_id AND c.n = a.n - 5")
@@ -547,10 +546,35 @@ of_block("supersample", lambda p: filters.supersample(p, 8, 8), """, o AS (SELEC
 SELECT a.id, o.v * 16 + o.u AS i, (9 * a.x + 3 * b.x + 3 * d.x + e.x + 8) >> 4 AS x FROM o JOIN blk a ON a.y = cy AND a.c = cx JOIN blk b ON b.id = a.id AND b.y = cy AND b.c = nx JOIN blk d ON d.id = a.id AND d.y = ny AND d.c = cx JOIN blk e ON e.id = a.id AND e.y = ny AND e.c = nx""")
 of_block("full_to_video", lambda p: F.transform(p, filters.full_to_video), "SELECT id, i, CAST(round(x * (CAST(219 AS DOUBLE) / 255) + 16) AS BIGINT) AS x FROM blk")
 of_block("video_to_full", lambda p: F.transform(p, filters.video_to_full), "SELECT id, i, least(greatest(CAST(round((x - 16) * (CAST(255 AS DOUBLE) / 219)) AS BIGINT), 0), 255) AS x FROM blk")
-of_block("unsharp", lambda p: filters.unsharp(p, 8, 8, 1.0, 1.5, 6))
-of_block("low_pass", lambda p: filters.low_pass(p, 8, 8, 3, 0.5))
+
+
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
+
+
+def resample_sql(kernel: str) -> str:
+    """8 x 8 to 12 x 6 as one weighted sum. A millionth decides nothing, so that sums of doubles in any order round alike."""
+    x, y = (values((q, p, w) for q, row in enumerate(scalar.resample_weights(8, m, kernel)) for p, w in row) for m in (12, 6))
+    return f""", h(q, p, k) AS (VALUES {x}), v(q, p, k) AS (VALUES {y})
+SELECT blk.id, v.q * 12 + h.q AS i, CAST(least(greatest(floor(round(sum(blk.x * h.k * v.k), 6) + 0.5), 0), 255) AS BIGINT) AS x FROM blk JOIN h ON h.p = blk.c JOIN v ON v.p = blk.y GROUP BY blk.id, v.q, h.q"""
+
+
+_G = scalar.gaussian_taps(1.0)
+of_block(
+    "unsharp",
+    lambda p: filters.unsharp(p, 8, 8, 1.0, 1.5, 6),
+    f""", t(d, k) AS (VALUES {values((d, _G[abs(d)]) for d in range(1 - len(_G), len(_G)))}),
+m AS (SELECT p.id, p.i, any_value(p.x) AS x, round(any_value(p.x) - sum(q.x * a.k * b.k), 6) AS d FROM blk p, t a, t b JOIN blk q ON q.id = p.id AND q.c = least(greatest(p.c + a.d, 0), 7) AND q.y = least(greatest(p.y + b.d, 0), 7) GROUP BY p.id, p.i)
+SELECT id, i, CASE WHEN abs(2 * d) < 6 THEN x ELSE CAST(least(greatest(floor(round(x + 1.5 * d, 6) + 0.5), 0), 255) AS BIGINT) END AS x FROM m""",
+)
+of_block(
+    "low_pass",
+    lambda p: filters.low_pass(p, 8, 8, 3, 0.5),
+    f""", t(n, d, k) AS (VALUES {values((n, d, row[abs(d)]) for n, row in enumerate(scalar.fir_taps(3, 0.5)) for d in range(-n, n + 1))})
+SELECT p.id, p.i, CAST(floor(round(least(greatest(sum(q.x * a.k * b.k), 0.0), 255.0), 6) + 0.5) AS BIGINT) AS x FROM blk p JOIN t a ON a.n = least(p.c, 7 - p.c, 3) JOIN t b ON b.n = least(p.y, 7 - p.y, 3) JOIN blk q ON q.id = p.id AND q.c = p.c + a.d AND q.y = p.y + b.d GROUP BY p.id, p.i""",
+)
 for _k in scalar.KERNELS:
-    of_block(f"resample_{_k}", lambda p, k=_k: filters.resample(p, 8, 8, 12, 6, k))
+    of_block(f"resample_{_k}", lambda p, k=_k: filters.resample(p, 8, 8, 12, 6, k), resample_sql(_k))
 of_block("resample_linear_half", lambda p: filters.resample(p, 8, 8, 4, 8, "box"), "SELECT id, y * 4 + c // 2 AS i, CAST(floor(sum(x) * 0.5 + 0.5) AS BIGINT) AS x FROM blk GROUP BY id, y, c // 2")
 
 
@@ -582,22 +606,38 @@ def unpack_yuyv(spark, sf):
 
 of_block("dct8", lambda p: coding.dct(F.transform(p, lambda v: v - 128)), """, k AS (SELECT u.v AS u, x.v AS x, sqrt(CASE WHEN u.v = 0 THEN 0.125 ELSE 0.25 END) * cos(pi() / 8 * u.v * (x.v + 0.5)) AS c FROM range(0, 8) u(v), range(0, 8) x(v))
 SELECT id, v.u * 8 + h.u AS i, CAST(round(round(sum((x - 128) * h.c * v.c), 6)) AS BIGINT) AS x FROM blk JOIN k h ON h.x = blk.c JOIN k v ON v.x = blk.y GROUP BY id, v.u, h.u""".replace("SELECT id", "SELECT blk.id").replace("sum((x - 128)", "sum((blk.x - 128)").replace("GROUP BY id", "GROUP BY blk.id"))
-of_block("idct8", lambda p: coding.idct(coding.dct(p)))
+DCT_K = "k AS (SELECT u.v AS u, x.v AS x, sqrt(CASE WHEN u.v = 0 THEN 0.125 ELSE 0.25 END) * cos(pi() / 8 * u.v * (x.v + 0.5)) AS c FROM range(0, 8) u(v), range(0, 8) x(v))"
+of_block("idct8", lambda p: coding.idct(coding.dct(p)), f""", {DCT_K}, f AS MATERIALIZED (SELECT blk.id, v.u AS v, h.u AS u, CAST(round(round(sum(blk.x * h.c * v.c), 6)) AS BIGINT) AS x FROM blk JOIN k h ON h.x = blk.c JOIN k v ON v.x = blk.y GROUP BY blk.id, v.u, h.u)
+SELECT f.id, v.x * 8 + h.x AS i, CAST(round(round(sum(f.x * h.c * v.c), 6)) AS BIGINT) AS x FROM f JOIN k h ON h.u = f.u JOIN k v ON v.u = f.v GROUP BY f.id, v.x, h.x""")
 of_block("quantise_inter", lambda p: coding.quantise_inter(F.transform(p, lambda v: (v - 128) * 9), 5), "SELECT id, i, sign(x - 128) * least((abs((x - 128) * 9) * 16) // 80, 2047) AS x FROM blk")
 of_block("dequantise_inter", lambda p: coding.dequantise_inter(F.transform(p, lambda v: v - 128), 5), """, d AS (SELECT id, i, sign(x - 128) * least(((abs(x - 128) * 2 + 1) * 80) // 32, 2047) AS x FROM blk), s AS (SELECT id, sum(x) AS s FROM d GROUP BY id)
 SELECT id, i, CASE WHEN i = 63 AND s % 2 = 0 THEN xor(CAST(x AS BIGINT), 1) ELSE CAST(x AS BIGINT) END AS x FROM d JOIN s USING (id)""")
-of_block("quantise_intra", lambda p: coding.quantise_intra(F.transform(p, lambda v: (v - 128) * 9), 6))
+of_block("quantise_intra", lambda p: coding.quantise_intra(F.transform(p, lambda v: (v - 128) * 9), 6), f""", m(i, m) AS (VALUES {values(enumerate(coding.INTRA))}), d AS (SELECT id, i, (x - 128) * 9 AS v FROM blk)
+SELECT id, i, CAST(sign(v) AS BIGINT) * CASE WHEN i = 0 THEN (abs(v) * 2 + 8) // 16 ELSE least((abs(v) * 32 + m * 6) // (m * 12), 2047) END AS x FROM d JOIN m USING (i)""")
+
+
+def zigzag_sql(level: str) -> str:
+    """Nonzero levels past the first along the zigzag, each with the zeros before it; `level` is made of blk's x."""
+    return f"""WITH {BLK}, z(k, i) AS (VALUES {values(enumerate(coding.zigzag()))}), {level},
+nz AS (SELECT id, k, x FROM q JOIN z USING (i) WHERE k > 0 AND x <> 0), rl AS (SELECT id, k - coalesce(lag(k) OVER (PARTITION BY id ORDER BY k), 0) - 1 AS run, x AS level FROM nz)"""
 
 
-@query("coded_bits")
+BITS_SQL = zigzag_sql(f"{DCT_K}, f AS MATERIALIZED (SELECT blk.id, v.u * 8 + h.u AS i, CAST(round(round(sum((blk.x - 128) * h.c * v.c), 6)) AS BIGINT) AS x FROM blk JOIN k h ON h.x = blk.c JOIN k v ON v.x = blk.y GROUP BY blk.id, v.u, h.u), q AS (SELECT id, i, CAST(sign(x) AS BIGINT) * least(abs(x) * 16 // 64, 2047) AS x FROM f)")
+
+
+@query("coded_bits", f"""{BITS_SQL}, t(run, level, bits) AS (VALUES {values((r, k + 1, b) for r, row in enumerate(coding.CODE_BITS) for k, b in enumerate(row))}),
+s AS (SELECT rl.id, coalesce(t.bits + 1, 24) AS bits FROM rl LEFT JOIN t ON t.run = rl.run AND t.level = abs(rl.level))
+SELECT b.id, CAST(coalesce(sum(bits), 0) + 2 AS BIGINT) AS bits, count(bits) AS pairs FROM (SELECT DISTINCT id FROM blk) b LEFT JOIN s ON s.id = b.id GROUP BY b.id""")
 def coded_bits(spark, sf):
     q = coding.quantise_inter(coding.dct(F.transform("x", lambda v: v - 128)), 4)
     return blocks(spark, sf).select("id", coding.coded_bits(q).alias("bits"), F.size(coding.run_levels(q)).cast("long").alias("pairs"))
 
 
-@query("eliminate_singles")
+@query("eliminate_singles", f"""{zigzag_sql("q AS (SELECT id, i, (x - 128) // 30 AS x FROM blk)")}, w AS (SELECT id, sum(CASE WHEN run = 0 THEN 3 WHEN run < 3 THEN 2 WHEN run < 24 THEN 1 ELSE 0 END) AS s, max(abs(level)) AS most FROM rl GROUP BY id),
+o AS (SELECT q.id FROM q LEFT JOIN w ON w.id = q.id WHERE q.i = 0 AND q.x <= 1 AND coalesce(most, 0) <= 1 AND coalesce(s, 0) < 40)
+SELECT q.id, q.i, CASE WHEN q.i > 0 AND o.id IS NOT NULL THEN 0 ELSE q.x END AS x FROM q LEFT JOIN o ON o.id = q.id""")
 def eliminate_singles(spark, sf):
-    return cells(blocks(spark, sf), coding.eliminate_singles(F.transform("x", lambda v: cdiv(v - 128, 40)), 30))
+    return cells(blocks(spark, sf), coding.eliminate_singles(F.transform("x", lambda v: cdiv(v - 128, 30)), 40))
 
 
 # Multiplexing.
@@ -686,13 +726,14 @@ def region_union(spark, sf):
 
 def point_sql(condition: str) -> str:
     """Sets of days, point by point, from the definition."""
-    return f"""WITH {DAYS}, a AS (SELECT DISTINCT l_suppkey % 8 AS k, unnest(range(a, z)) AS p FROM d WHERE l_suppkey % 5 = 0), b AS (SELECT DISTINCT l_suppkey % 8 AS k, unnest(range(a, z)) AS p FROM d WHERE l_suppkey % 5 = 1),
+    return f"""WITH {DAYS}, a AS (SELECT DISTINCT l_suppkey // 2 AS k, unnest(range(a, z)) AS p FROM d WHERE l_suppkey % 2 = 0), b AS (SELECT DISTINCT l_suppkey // 2 AS k, unnest(range(a, z)) AS p FROM d WHERE l_suppkey % 2 = 1),
 s AS (SELECT * FROM a WHERE {condition}), r AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS g FROM s) SELECT k, min(p) AS x0, max(p) + 1 AS x1 FROM r GROUP BY k, g"""
 
 
 def two_regions(spark, sf):
+    """The days of every supplier of an even number, and of the one after it."""
     d = days(spark, sf)
-    side = lambda m: d.filter(F.col("l_suppkey") % 5 == m).select((F.col("l_suppkey") % 8).alias("k"), F.col("a").alias("x0"), F.col("z").alias("x1"))
+    side = lambda m: d.filter(F.col("l_suppkey") % 2 == m).select(cdiv(F.col("l_suppkey"), 2).alias("k"), F.col("a").alias("x0"), F.col("z").alias("x1"))
     return side(0), side(1)
 
 
@@ -746,3 +787,6 @@ def rate_control(spark, sf):
     s = rate.sketch(table(spark, sf, "events").filter("value > 0"), "value", 64)
     got = [(t, rate.control_rate(s, float(t), 0.6, 4000.0)) for t in (100, 500, 1000)]
     return spark.createDataFrame(got, "target int, control double")
+
+
+from . import more  # noqa: E402, F401  registers its queries here

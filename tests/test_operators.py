@@ -162,7 +162,9 @@ def test_transforms(spark):
     block = [5] + [0] * 63
     block[8], block[2] = -3, 1
     assert [tuple(r) for r in one(spark, block, coding.run_levels)] == [(1, -3), (2, 1)]
-    assert one(spark, [7, 1] + [0] * 62, lambda p: coding.eliminate_singles(p, 4)) == [7] + [0] * 63
+    assert one(spark, [7, 1] + [0] * 62, lambda p: coding.eliminate_singles(p, 4)) == [7, 1] + [0] * 62  # a first coefficient over 1 keeps all
+    assert one(spark, [1, 1] + [0] * 62, lambda p: coding.eliminate_singles(p, 4)) == [1] + [0] * 63
+    assert one(spark, [1, 1] + [0] * 62, lambda p: coding.eliminate_singles(p, 3)) == [1, 1] + [0] * 62
     assert one(spark, [7, 2] + [0] * 62, lambda p: coding.eliminate_singles(p, 4)) == [7, 2] + [0] * 62
 
 
