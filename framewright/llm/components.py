@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), in any direction -> (id, label): label is the smallest id reachable. Ids without edges are absent,
     and so are edges with a null end."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    e = stash(contracted(contracted(e).distinct()).distinct(), "cc")
+    e = stash(contracted(e.distinct()), "cc")
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
     while True:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import pickle
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -149,20 +150,24 @@ def mark(docs: DataFrame, shards: Iterable[bytes], text: str = "text", names=("n
     """docs plus n_words, hits (word spans [start, end) that any item covers, flattened) and items, in place of columns of
     these names.
     Each shard of items is a pass over all documents, written before the next begins: one automaton lives at a time."""
-    docs, out = docs.drop(*names), None
-    for shard in shards:
-        if out is None:
-            out = _pass(docs, shard, text, names, len(docs.columns))
-        else:
-            before = stash(out, "marked")
-            out = _pass(before, shard, text, names, len(docs.columns))
-    return out
-
-
-def _pass(docs: DataFrame, shard: bytes, text: str, names, width: int) -> DataFrame:
-    """One shard's pass over documents of `width` columns, with the marks of the passes before it behind them."""
+    return _marked(docs.drop(*names), shards, text, names)
+
+
+def _marked(docs: DataFrame, shards: Iterable[bytes], text: str, names, finish=None) -> DataFrame:
+    width, rest = len(docs.columns), iter(shards)
+    shard = next(rest)
+    while (later := next(rest, None)) is not None:
+        docs, shard = stash(_pass(docs, shard, text, names, width), "marked"), later
+    return _pass(docs, shard, text, names, width, finish)
+
+
+def _pass(docs: DataFrame, shard: bytes, text: str, names, width: int, finish=None) -> DataFrame:
+    """One shard's pass over documents of `width` columns, with the marks of the passes before it behind them. finish:
+    makes the columns of documents anew from those and the marks, in place of adding the marks."""
     shared = docs.sparkSession.sparkContext.broadcast(shard)
-    schema = StructType(docs.schema.fields[:width]).add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(StringType()))
+    schema = StructType(docs.schema.fields[:width])
+    if finish is None:
+        schema = schema.add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(StringType()))
     at = docs.columns.index(text)
     marked = len(docs.columns) > width
 
@@ -181,6 +186,9 @@ def _pass(docs: DataFrame, shard: bytes, text: str, names, width: int) -> DataFr
                 n.append(len(ws))
                 hits.append(old)
                 items.append(sorted(of))
+            if finish is not None:
+                yield pa.RecordBatch.from_arrays(finish(list(b.columns[:width]), n, hits), names=b.schema.names[:width])
+                continue
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:width], *names])
 
     return docs.mapInArrow(tidied(run), schema)
@@ -194,34 +202,28 @@ def n_hit():
 def clean(docs: DataFrame, items: DataFrame, max_words: int = 0, max_share: float = 0.0, text: str = "text") -> DataFrame:
     """Removes hit spans, with the signs that follow each removed word, from documents with more than max_words hit
     words and more than the share max_share of their words hit; documents without hits stay byte for byte."""
-    marked = mark(docs, automata(items, text), text, tuple(free_name(docs.columns, c) for c in ("__n", "__hits", "__items")))
-    narrow = docs.schema
-    at = narrow.names.index(text)
-
-    def cut(batches):
-        import re
+    at = docs.columns.index(text)
+    find = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-        find = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            out = list(texts)
-            for i, (h, n) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 3).to_pylist())):
-                hit = sum(h[1::2]) - sum(h[::2])
-                if not hit or hit <= max_words or hit <= max_share * n:
-                    continue
-                raw = texts[i].encode("utf-8", "surrogatepass")
-                low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
-                starts = [m.start() for m in find.finditer(low)] + [len(raw)]
-                keep, last = [], 0
-                for a, z in zip(h[::2], h[1::2]):
-                    keep.append(raw[last : starts[a]])
-                    last = starts[z]
-                out[i] = b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
-            cols = list(b.columns[: len(narrow)])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=narrow.names)
-
-    return marked.mapInArrow(tidied(cut), narrow)
+    def cut(columns, counts, spans):
+        texts = columns[at].to_pylist()
+        for i, (h, n) in enumerate(zip(spans, counts)):
+            hit = sum(h[1::2]) - sum(h[::2])
+            if not hit or hit <= max_words or hit <= max_share * n:
+                continue
+            raw = texts[i].encode("utf-8", "surrogatepass")
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+            starts = [m.start() for m in find.finditer(low)] + [len(raw)]
+            keep, last = [], 0
+            for a, z in zip(h[::2], h[1::2]):
+                keep.append(raw[last : starts[a]])
+                last = starts[z]
+            texts[i] = b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
+        columns[at] = pa.array(texts, pa.string())
+        return columns
+
+    names = tuple(free_name(docs.columns, c) for c in ("__n", "__hits", "__items"))
+    return _marked(docs, automata(items, text), text, names, cut)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

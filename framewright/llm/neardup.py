@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, as_bytes, discard, free_name, mix, parts_for, stash, tidied
-from .components import components
+from .components import AT_ONCE, components, forest
 
 BANDS, ROWS, SKETCH_BITS, BLOCK = 56, 6, 1024, 512
 N = BANDS * ROWS
@@ -199,21 +199,26 @@ def candidates(sig: DataFrame, parts: int) -> DataFrame:
 
     def answer(batches):
         def links(pairs):
-            for i in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, c]) for c in (0, 1)], names=["u", "v"])
+            for i in range(0, len(pairs), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([*forest(pa.array(pairs[i : i + AT_ONCE, 0]), pa.array(pairs[i : i + AT_ONCE, 1]))], names=["u", "v"])
 
-        cells = []
+        cells, held = [], []
         for b in batches:
             for asks, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 got = np.frombuffer(packed, np.int64).reshape(-1, 2)
                 if asks:
                     cells.append(got)
                 else:
-                    yield from links(got)
+                    held.append(got)
+                    if sum(map(len, held)) >= AT_ONCE:
+                        yield from links(np.concatenate(held))
+                        held.clear()
         if cells:
             all_ = np.concatenate(cells)
             cells.clear()
-            yield from links(stars(all_[:, 0], all_[:, 1])[2])
+            held.append(stars(all_[:, 0], all_[:, 1])[2])
+        if held:
+            yield from links(np.concatenate(held))
 
     sent = sig.select("node", "bands").mapInArrow(pack, "part int, asks boolean, packed binary")
     return sent.repartitionById(parts, F.col("part")).mapInArrow(tidied(answer), "u long, v long")
