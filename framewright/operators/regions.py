@@ -35,7 +35,7 @@ def intersect(a: DataFrame, b: DataFrame, key: list[str], start: str = "x0", sto
 
 def flood(allowed: DataFrame, seed: DataFrame, row: str = "y", start: str = "x0", stop: str = "x1") -> DataFrame:
     """Extents of `allowed` connected with the seed across overlapping extents of neighbouring rows. Each round joins
-    rows y - 1, y and y + 1 on the row (an equi-join), and lineage is cut through the shared folder."""
+    rows y - 1, y and y + 1 on the row (an equi-join); lineage is cut where spark.checkpoint.dir names a folder for it."""
     spark = allowed.sparkSession
     ext = union(allowed, [row], start, stop)
     if spark.conf.get("spark.checkpoint.dir", None):

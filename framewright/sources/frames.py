@@ -30,11 +30,12 @@ def parse_header(line: Column, extended: bool = False) -> Column:
     chroma is 420jpeg where not told. Tags of other letters are kept in xtags. extended: other chroma than 4:2:0 and
     mixed interlacing are taken too."""
     parts = F.split(line, " ")
-    tag = lambda c: F.get(F.transform(F.filter(F.slice(parts, 2, 1000), lambda p: F.substring(p, 1, 1) == c), lambda p: F.substring(p, 2, 1000)), 0)
+    told = F.slice(parts, F.lit(2), F.size(parts))
+    tag = lambda c: F.get(F.transform(F.filter(told, lambda p: F.substring(p, 1, 1) == c), lambda p: F.substr(p, F.lit(2))), 0)
     w, h = tag("W").try_cast("int"), tag("H").try_cast("int")
     chroma, lace = F.coalesce(tag("C"), F.lit("420jpeg")), F.coalesce(tag("I"), F.lit("?"))
-    xtags = F.transform(F.filter(F.slice(parts, 2, 1000), lambda p: F.substring(p, 1, 1) == "X"), lambda p: F.substring(p, 2, 1000))
-    other = F.filter(F.slice(parts, 2, 1000), lambda p: ~F.substring(p, 1, 1).isin("W", "H", "C", "I", "F", "A", "X", ""))
+    xtags = F.transform(F.filter(told, lambda p: F.substring(p, 1, 1) == "X"), lambda p: F.substr(p, F.lit(2)))
+    other = F.filter(told, lambda p: ~F.substring(p, 1, 1).isin("W", "H", "C", "I", "F", "A", "X", ""))
     plain = F.startswith(chroma, F.lit("420")) & (lace != "m")
     problem = (
         F.when(F.get(parts, 0) != STREAM, "no stream header")
