@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from .bpe_count import op4_token_counts
 from .bytedup import op6_byte_dedup
-from .decontaminate import op10_decontaminate
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .langid import op3_language_id
 from .neardup import op2_near_duplicates
 from .packing import op9_best_fit_packing
-from .recompress import op5_substring_dedup
+from .recompress import OP5_SQL, op5_substring_dedup
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op8_toxicity
 from .warc import OP7_SQL, op7_warc
@@ -20,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_top_k": OP1_SQL, "op7_warc": OP7_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op10_decontaminate": OP10_SQL}

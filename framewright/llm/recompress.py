@@ -155,3 +155,14 @@ def remove(docs: DataFrame, width: int = 35, text: str = "text", key: str = "doc
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return found.mapInArrow(tidied(run), schema)
+
+
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, k, sha256(array_to_string(w[k:k + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+rep AS MATERIALIZED (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT DISTINCT r, k + j AS k FROM (SELECT r, k, unnest(range(0, 35)) AS j FROM win WHERE s IN (SELECT s FROM rep))),
+word AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM d),
+kept AS MATERIALIZED (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN hit USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
