@@ -13,23 +13,27 @@ its windows, its full extent is their union. Then, in Spark:
    core, window by window; a core with more than GROUP distinct extents is compared by rows of single windows.
 4. The runs of repeated windows of each document are joined back to its text.
 
-Keys are 64-bit content hashes. A document is named by the hash of its id and text: rows that repeat both share their runs.
+Extents are named by two 64-bit hashes, of their core and of the whole; windows by that of their core and their own. A
+document is named by two hashes of its id and text (doc, twin): rows that repeat both share their runs. Buckets and joins
+have as many parts as the bytes of all texts ask for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, as_bytes, discard, mix, stash, tidied
+from .common import PrefixHash, as_bytes, discard, mix, parts_for, stash, tidied
 
 #: Extents of one core that a task compares at once.
 GROUP = 2048
+#: Bytes of text whose occurrences go to one part of a shuffle.
+PART_BYTES = 16 << 20
 
-_KIND = np.dtype([("core", "u8"), ("full", "u8"), ("doc", "i8"), ("at", "i4"), ("n", "i4"), ("anchor", "i4"), ("many", "i4")])
-_OCC = "doc long, at int, n int, anchor int, core long, full long"
+_KIND = np.dtype([("core", "u8"), ("full", "u8"), ("doc", "i8"), ("twin", "i8"), ("at", "i4"), ("n", "i4"), ("anchor", "i4"), ("many", "i4")])
+_OCC = "doc long, twin long, at int, n int, anchor int, core long, full long"
 
 
 class Cutter:
@@ -40,7 +44,7 @@ class Cutter:
     compared_at_once = 200_000  # symbols of contexts
 
     def repeated(self, group):
-        """(rows, starts) of the windows of some contexts (doc, at, n, anchor, context, core) that occur several times.
+        """(rows, starts) of the windows of some contexts (doc, at, n, anchor, context, core, twin) that occur several times.
         The contexts of a core come together."""
         row, at, key = windows(self, group)
         # Windows are compared within a core; its hash is part of the key.
@@ -79,12 +83,12 @@ def extent(ph: PrefixHash, at, n, anchor, width):
     return mix(ph.range(at, at + n - 1 + width) ^ mix((anchor - at).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
 
 
-def cut(cutter: Cutter, docs: list[int], syms: list[np.ndarray]) -> np.ndarray:
+def cut(cutter: Cutter, docs: list[tuple[int, int]], syms: list[np.ndarray]) -> np.ndarray:
     """The occurrences of some documents."""
     w = cutter.width
     sizes = np.array([len(s) for s in syms])
     keep = sizes >= w
-    docs, sizes = np.array(docs, np.int64)[keep], sizes[keep]
+    docs, sizes = np.array(docs, np.int64).reshape(-1, 2)[keep], sizes[keep]
     if not len(docs):
         return np.zeros(0, _KIND)
     sym = np.concatenate([s for s, k in zip(syms, keep) if k])
@@ -100,14 +104,13 @@ def cut(cutter: Cutter, docs: list[int], syms: list[np.ndarray]) -> np.ndarray:
     d = np.searchsorted(starts, at, "right") - 1
     out = np.zeros(len(first), _KIND)
     out["core"], out["full"] = ph.range(a, z), extent(ph, at, n, a, w)
-    out["doc"], out["at"], out["n"], out["anchor"] = docs[d], at - starts[d], n, a - starts[d]
+    out["doc"], out["twin"] = docs[d].T
+    out["at"], out["n"], out["anchor"] = at - starts[d], n, a - starts[d]
     return out
 
 
-def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
-    """docs (doc, text) -> the occurrences whose core occurs anywhere else."""
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
+def shared_occurrences(docs: DataFrame, cutter: Cutter, parts: int, label: str) -> DataFrame:
+    """docs (doc, twin, text) -> the occurrences whose core occurs anywhere else."""
 
     def emit(batches):
         def out(ids, syms):
@@ -135,7 +138,7 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
 
         ids, syms, size = [], [], 0
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for *d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 s = cutter.symbols(t)
                 if len(s) < cutter.width:
                     continue
@@ -151,7 +154,7 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
     def rows(occ):
         for i in range(0, len(occ), 100_000):
             o = occ[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(o[c]) for c in ("doc", "at", "n", "anchor")] + [pa.array(o[c].view(np.int64)) for c in ("core", "full")], names=["doc", "at", "n", "anchor", "core", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array(o[c]) for c in ("doc", "twin", "at", "n", "anchor")] + [pa.array(o[c].view(np.int64)) for c in ("core", "full")], names=["doc", "twin", "at", "n", "anchor", "core", "full"])
 
     def answer(batches):
         asked = []
@@ -176,49 +179,55 @@ def shared_occurrences(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame
     return stash(sent.repartition(parts, "bucket").mapInArrow(tidied(answer), _OCC), label + "-shared")
 
 
-def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
-    """docs (doc, text) -> (doc, runs array<struct<at,n>>): the repeated windows of each document that has any."""
+def spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Into `parts` parts by the keys, where the session's own number is too small."""
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def repeated_runs(docs: DataFrame, cutter: Cutter, parts: int, label: str) -> DataFrame:
+    """docs (doc, twin, text) -> (doc, twin, runs array<struct<at,n>>): the repeated windows of each document that has any."""
     w = cutter.width
-    occ = shared_occurrences(docs, cutter, label)
-    kinds = stash(occ.groupBy("core", "full").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at", "n", "anchor")).alias("one")), label + "-extents")
-    sure = occ.join(kinds.filter("times > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc", "at", "n")
+    name = ["doc", "twin"]
+    occ = shared_occurrences(docs, cutter, parts, label)
+    kinds = stash(occ.groupBy("core", "full").agg(F.count("*").alias("times"), F.min(F.struct(*name, "at", "n", "anchor")).alias("one")), label + "-extents")
+    sure = occ.join(kinds.filter("times > 1").select("core", "full"), ["core", "full"], "left_semi").select(*name, "at", "n")
     cores = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     todo = kinds.join(cores, "core").select("core", "kinds", "one.*")
-    todo = stash(todo.groupBy("doc").agg(F.collect_list(F.struct("core", "kinds", "at", "n", "anchor")).alias("todo")), label + "-todo")
+    todo = stash(todo.groupBy(*name).agg(F.collect_list(F.struct("core", "kinds", "at", "n", "anchor")).alias("todo")), label + "-todo")
 
     def contexts(batches):
         for b in batches:
-            out = [[] for _ in range(7)]
-            for d, t, runs in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
+            out = [[] for _ in range(8)]
+            for d, twin, t, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist()):
                 s = cutter.symbols(t)
                 for r in runs:
                     part = s[r["at"] : r["at"] + r["n"] - 1 + w]
-                    for c, v in zip(out, (r["core"], r["kinds"], d, r["at"], r["n"], r["anchor"], cutter.pack(part))):
+                    for c, v in zip(out, (r["core"], r["kinds"], d, r["at"], r["n"], r["anchor"], cutter.pack(part), twin)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["core", "kinds", "doc", "at", "n", "anchor", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["core", "kinds", "doc", "at", "n", "anchor", "context", "twin"])
 
-    found = docs.join(todo, "doc").select("doc", "text", "todo").mapInArrow(tidied(contexts), "core long, kinds long, doc long, at int, n int, anchor int, context binary")
+    found = spread(docs, parts, *name).join(todo, name).select(*name, "text", "todo").mapInArrow(tidied(contexts), "core long, kinds long, doc long, at int, n int, anchor int, context binary, twin long")
     found = stash(found, label + "-contexts")
 
-    def runs_of(doc, at):
+    def runs_of(docs, at):
         if not len(at):
             return
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+        order = np.lexsort((at, docs[:, 1], docs[:, 0]))
+        docs, at = docs[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]).any(axis=1) | (at[1:] != at[:-1] + 1)]))
         n = np.diff(np.append(new, len(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(at[new], pa.int32()), pa.array(n, pa.int32())], names=["doc", "at", "n"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, docs[new].T.copy()), pa.array(at[new], pa.int32()), pa.array(n, pa.int32())], names=["doc", "twin", "at", "n"])
 
     def compare(batches):
         group, symbols = [], 0
 
         def out():
             row, at = cutter.repeated(group)
-            yield from runs_of(np.array([r[0] for r in group], np.int64)[row], at)
+            yield from runs_of(np.array([(r[0], r[6]) for r in group], np.int64).reshape(-1, 2)[row], at)
 
         now = None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for r in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if r[5] != now:  # whole cores only
                     if symbols > cutter.compared_at_once:
                         yield from out()
@@ -231,26 +240,27 @@ def repeated_runs(docs: DataFrame, cutter: Cutter, label: str) -> DataFrame:
 
     def single(batches):
         for b in batches:
-            group = list(zip(*(b.column(i).to_pylist() for i in range(6))))
+            group = list(zip(*(b.column(i).to_pylist() for i in range(7))))
             for i in range(0, len(group), 1000):
                 part = group[i : i + 1000]
                 row, at, key = windows(cutter, part)
+                core, docs = np.array([r[5] for r in part], np.int64)[row], np.array([(r[0], r[6]) for r in part], np.int64)[row]
                 # A window that this task holds several times is known to be repeated; one of its rows asks for the others.
-                order = np.argsort(key, kind="stable")
-                row, at, key = row[order], at[order], key[order]
-                asks = np.concatenate([[True], key[1:] != key[:-1]])
+                order = np.lexsort((core, key))
+                core, docs, at, key = core[order], docs[order], at[order], key[order]
+                asks = np.concatenate([[True], (key[1:] != key[:-1]) | (core[1:] != core[:-1])])
                 sure = ~asks
                 sure[:-1] |= sure[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in part], np.int64)[row]), pa.array(at, pa.int32()), pa.array(key.view(np.int64)), pa.array(sure), pa.array(asks)], names=["doc", "at", "key", "sure", "asks"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, docs.T.copy()), pa.array(at, pa.int32()), pa.array(core), pa.array(key.view(np.int64)), pa.array(sure), pa.array(asks)], names=["doc", "twin", "at", "core", "key", "sure", "asks"])
 
-    cols = ["doc", "at", "n", "anchor", "context", "core"]
-    few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition("core").sortWithinPartitions("core").mapInArrow(tidied(compare), "doc long, at int, n int")
-    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(tidied(single), "doc long, at int, key long, sure boolean, asks boolean")
+    cols = ["doc", "at", "n", "anchor", "context", "core", "twin"]
+    few = found.filter(F.col("kinds") <= GROUP).select(*cols).repartition(parts, "core").sortWithinPartitions("core").mapInArrow(tidied(compare), "doc long, twin long, at int, n int")
+    many = found.filter(F.col("kinds") > GROUP).select(*cols).mapInArrow(tidied(single), "doc long, twin long, at int, core long, key long, sure boolean, asks boolean")
     many = stash(many, label + "-windows")
-    again = many.filter("asks").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    open_ = many.filter("NOT sure").join(again, "key", "left_semi")
-    many = many.filter("sure").select("doc", "at").union(open_.select("doc", "at")).withColumn("n", F.lit(1))
-    runs = sure.union(few).union(many).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    again = many.filter("asks").groupBy("core", "key").agg(F.count("*").alias("c")).filter("c > 1").select("core", "key")
+    open_ = many.filter("NOT sure").join(again, ["core", "key"], "left_semi")
+    many = many.filter("sure").select(*name, "at").union(open_.select(*name, "at")).withColumn("n", F.lit(1))
+    runs = sure.union(few).union(many).groupBy(*name).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     runs = stash(runs, label + "-runs")
     for x in (occ, kinds, todo, found):
         discard(x)
@@ -266,9 +276,15 @@ def covered(n: int, width: int, runs) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def names(key: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(key, text).alias("doc"), F.xxhash64(F.lit("twin"), text, key).alias("twin")]
+
+
 def with_runs(docs: DataFrame, cutter: Cutter, label: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs plus __runs (null where nothing repeats)."""
-    name = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    runs = repeated_runs(docs.filter(F.col(text).isNotNull()).select(name.alias("doc"), F.col(text).alias("text")), cutter, label)
-    whole = docs.select(name.alias("doc"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return whole.join(runs, "doc", "left").select("row.*", F.col("runs").alias("__runs"))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = parts_for(docs.sparkSession, size, PART_BYTES)
+    name = names(F.col(key).cast("string"), F.col(text))
+    runs = repeated_runs(docs.filter(F.col(text).isNotNull()).select(*name, F.col(text).alias("text")), cutter, parts, label)
+    whole = docs.select(*name, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return spread(whole, parts, "doc", "twin").join(runs, ["doc", "twin"], "left").select("row.*", F.col("runs").alias("__runs"))
