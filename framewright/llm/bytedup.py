@@ -46,7 +46,7 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bwt = np.sort(before[ends] | np.arange(n_docs))
     common = np.zeros(n_docs + 1, np.uint16)
     place, at, live = np.arange(n_docs), ends.copy(), np.arange(n_docs)
-    count = np.arange(len(flat))
+    count = np.arange(n_docs + 1, dtype=np.min_scalar_type(n_docs))  # small, so that gathers stay in the cache
     for column in range(1, int(sizes.max()) + 1):
         keep = sizes[live] >= column
         live, place, at = live[keep], place[keep], at[keep]
@@ -55,7 +55,11 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(common) - 1, len(live)
         symbol = before[at]
         at = at - 1
-        t = np.searchsorted(bwt, symbol | place)
+        asked = symbol | place
+        rise = np.argsort(asked)
+        found = np.searchsorted(bwt, asked[rise])  # in order, which is faster
+        t = np.empty(k, np.int64)
+        t[rise] = found
         new = n_docs + t
         lower, higher = bwt[np.maximum(t - 1, 0)], bwt[np.minimum(t + 1, len(bwt) - 1)]
         has_low = (t > 0) & (lower >> 32 << 32 == symbol)
@@ -68,15 +72,16 @@ def suffix_order(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         # write transform and common prefixes anew, in order, with the new suffixes between the old ones
         old = np.ones(n + k, bool)
         old[new] = False
-        further = np.flatnonzero(old) - count[:n]
+        further = np.repeat(count[: k + 1], np.diff(np.concatenate([[0], found + n_docs - np.arange(k), [n]])))
         bwt += further[bwt & low32]
         goes_on = sizes[live] > column
         keys = np.sort((before[at] | new)[goes_on])
         grown = np.ones(len(bwt) + len(keys), bool)
-        grown[np.searchsorted(bwt, keys) + np.arange(len(keys))] = False
+        slots = np.searchsorted(bwt, keys) + np.arange(len(keys))
+        grown[slots] = False
         whole = np.empty(len(grown), np.int64)
         whole[grown] = bwt
-        whole[~grown] = keys
+        whole[slots] = keys
         bwt = whole
         wide = np.zeros(n + k + 1, np.uint16)
         wide[:-1][old] = common[:-1]
