@@ -88,3 +88,26 @@ def test_same_id_other_text(spark):
     t = " ".join(f"a{i}" for i in range(40))
     df = spark.createDataFrame([(1, t), (1, "b"), (None, t + " c")], "doc_id long, text string")
     assert sorted(r.n_removed for r in recompress.digest(df).collect()) == [0, 40, 40]
+
+
+@pytest.mark.parametrize("n_docs", [1, 7, 300])
+def test_suffix_order(n_docs):
+    """The column-wise construction against sorted suffixes; 300 texts need counters of more than a byte."""
+    rng = np.random.default_rng(n_docs)
+    texts = [rng.integers(97, 99 + i % 3, rng.integers(1, 40)).astype(np.uint8) for i in range(n_docs)] + [np.full(30, 97, np.uint8)] * 2
+    starts, common = bytedup.suffix_order(texts)
+    base = np.cumsum([0] + [len(t) + 1 for t in texts])
+    suffix = {int(base[d]) + j: t.tobytes()[j:] for d, t in enumerate(texts) for j in range(len(t) + 1)}
+    got = [suffix[int(s)] for s in starts]
+    assert sorted(starts.tolist()) == sorted(suffix) and got == sorted(got)
+    for a, b, c in zip(got, got[1:], common[1:].tolist()):
+        assert c == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_more_parts_than_the_session(spark, monkeypatch):
+    """Parts follow the bytes of the texts; results do not depend on them."""
+    docs = corpus(5)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = sorted(map(tuple, recompress.digest(df).collect()))
+    monkeypatch.setattr(repeats, "PART_BYTES", 2000)
+    assert sorted(map(tuple, recompress.digest(df).collect())) == want
