@@ -296,6 +296,42 @@ def area_average(p: Column, w: int, h: int, kx: int, ky: int) -> Column:
     return pixels(ow * (h // ky), lambda i: cdiv(sum((at(p, (cdiv(i, ow) * ky + dy) * w + (i % ow) * kx + dx) for dy in range(ky) for dx in range(kx)), long(0)) + n // 2, n))
 
 
+@bound
+def smooth_edges(p: Column, w: int, h: int) -> Column:
+    """Of seven slopes, the one along which three values of the rows above and below fit best (ties to the leftmost) is
+    mixed in: between slopes of 1 as a quarter above, a quarter below, else with the values beside them; then the mean with
+    the source. Two values at each border stay. Places count on through the rows."""
+
+    def pixel(i):
+        misfit = lambda dx: sum((F.abs(at(p, i + dx + k - w) - at(p, i + k)) + F.abs(at(p, i - dx + k + w) - at(p, i + k)) for k in (-1, 0, 1)), long(0))
+
+        def mixed(slope):
+            line = lambda at_: at(p, at_ - 1) + 2 * at(p, at_) + at(p, at_ + 1)
+            up, down = i + slope - w, i - slope + w
+            steep = cdiv(2 * at(p, i) + at(p, up) + at(p, down), 4)
+            return F.when(F.abs(slope) <= 1, steep).otherwise(cdiv(2 * line(i) + line(up) + line(down), 16))
+
+        slopes = F.array(*[F.struct(misfit(dx).alias("misfit"), long(dx).alias("dx")) for dx in range(-3, 4)])
+        smooth = let(F.array_min(slopes)["dx"], mixed)
+        return F.when(in_rectangle(i, w, 2, 2, w - 4, h - 4), cdiv(at(p, i) + smooth, 2)).otherwise(at(p, i))
+
+    return pixels(w * h, pixel)
+
+
+@bound
+def cut(p: Column, w: int, h: int, x: int, y: int, cw: int, ch: int) -> Column:
+    """The rectangle of cw x ch at (x, y)."""
+    return pixels(cw * ch, lambda i: at(p, (cdiv(i, cw) + y) * w + i % cw + x))
+
+
+@bound
+def place(p: Column, w: int, h: int, ow: int, oh: int, anchor: str = "CC", fill: int = BLACK) -> Column:
+    """On a canvas of ow x oh, held at an anchor of T, C or B and L, C or R; what is beyond is cut, the rest is fill."""
+    room = lambda spare, side: {"T": 0, "L": 0, "C": int(spare / 2)}.get(side, spare)
+    dx, dy = room(ow - w, anchor[1]), room(oh - h, anchor[0])
+    return pixels(ow * oh, lambda i: F.when(in_rectangle(i, ow, dx, dy, w, h), at(p, (cdiv(i, ow) - dy) * w + i % ow - dx)).otherwise(long(fill)))
+
+
 # Colour. Shares of red, green and blue in luma and in the two differences.
 LUMA = (0.299, 0.587, 0.114)
 BLUE_DIFFERENCE = (-0.168736, -0.331264, 0.5)

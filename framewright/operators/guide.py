@@ -72,13 +72,25 @@ def with_fallback(df: DataFrame, key: str, lookups: list[tuple[DataFrame, str, s
     return df.withColumn(out, F.coalesce(*found, F.col(key).cast("string"))).drop(*[f"__{c}{i}" for i in range(len(lookups)) for c in "kv"])
 
 
-def append_entries(old: DataFrame, new: DataFrame, key: list[str], start: str, stop: str) -> DataFrame:
-    """New listings join old ones: repeats of a key's start or stop are skipped, touching ones extend."""
-    seen = old.select(*key, F.explode(F.array(F.struct(F.lit("a").alias("k"), F.col(start).alias("t")), F.struct(F.lit("z").alias("k"), F.col(stop).alias("t")))).alias("m")).distinct()
-    marks = new.withColumn("__a", F.struct(F.lit("a").alias("k"), F.col(start).alias("t"))).withColumn("__z", F.struct(F.lit("z").alias("k"), F.col(stop).alias("t")))
-    for c in ("__a", "__z"):
-        marks = marks.join(seen.withColumnRenamed("m", c), [*key, c], "left_anti")
-    return coalesce_listings(old.select(*key, start, stop).unionByName(marks.select(*key, start, stop)), key, start, stop)
+def append_entries(old: DataFrame, new: DataFrame, key: list[str], start: str, stop: str, length: str, title: str) -> DataFrame:
+    """New listings join old ones of their key (station and title id): key, start, stop, length, title.
+
+    A new one with the start or the stop of an old one, or of a new one before it (by the other end, then title), is a
+    repeat and goes. One that starts where the listing before it (by start, stop, title) stops extends it: lengths add up,
+    and a title with ".." past its beginning gives way to the next. Old listings are not joined with each other."""
+    columns = [*key, start, stop, length, title]
+    for end in (start, stop):
+        new = new.join(old.select(*key, end).distinct(), [*key, end], "left_anti")
+    first = lambda end, other: F.row_number().over(Window.partitionBy(*key, end).orderBy(other, title, length))
+    new = new.withColumn("__a", first(start, stop)).withColumn("__z", first(stop, start)).filter("__a = 1 AND __z = 1")
+    w = Window.partitionBy(*key).orderBy(start, stop, "__new", title, length)
+    d = old.select(*columns, F.lit(False).alias("__new")).unionByName(new.select(*columns, F.lit(True).alias("__new")))
+    joins = F.coalesce(F.col("__new") & (F.col(start) == F.lag(stop).over(w)), F.lit(False))
+    d = d.withColumn("__n", F.row_number().over(w)).withColumn("__fresh", (~joins).cast("long"))
+    d = d.withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.when(F.instr(title, "..") <= 1, F.col("__n"))
+    named = F.coalesce(F.min_by(title, whole), F.max_by(title, "__n"))
+    return d.groupBy(*key, "__run").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.sum(length).alias(length), named.alias(title)).drop("__run")
 
 
 def put_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

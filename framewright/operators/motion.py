@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planes import at, bound, cdiv, let, total
+from .stats import bidirectional_ssd, ssd, variance
 
 WEIGHT_CAP = 65025
 
@@ -55,3 +56,13 @@ def median_motion(df: DataFrame, key: list[str], motion: str, values: range) ->
     hist = counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(motion).alias("m"), "n"))).alias("h"), F.sum("n").alias("t"))
     walk = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("m")), lambda s, e: F.struct((s.sum + e.n).alias("sum"), F.when(s.m.isNull() & (2 * (s.sum + e.n) >= F.col("t")), e.m.cast("long")).otherwise(s.m).alias("m")), lambda s: s.m)
     return hist.select(*key, walk.alias("median"))
+
+
+# Fixed value: what intra coding weighs beyond its variance, since it can't be left out.
+INTRA_PENALTY = 3 * 3 * 256
+
+
+def coding_mode(x: Column, before: Column, after: Column) -> Column:
+    """STRUCT<score, place, mode>: how a block is coded best, by the squares that are left; ties in this order."""
+    scores = {"intra": variance(x) + INTRA_PENALTY, "forward": ssd(x, before), "backward": ssd(x, after), "both": bidirectional_ssd(x, before, after)}
+    return F.array_min(F.array(*[F.struct(s.cast("long").alias("score"), F.lit(i).alias("place"), F.lit(m).alias("mode")) for i, (m, s) in enumerate(scores.items())]))

@@ -59,6 +59,14 @@ def align_to_base(df: DataFrame, stamp: str) -> DataFrame:
     return df.withColumn("aligned", F.col(stamp) - F.lit(df.agg(F.min(stamp)).first()[0]))
 
 
+def still_times(df: DataFrame, key: str, order: str, frames: Column, transfer: int, rate_n: int, rate_d: int, clock: int = 27_000_000) -> DataFrame:
+    """Adds dts and pts of stills: each is loaded for `transfer` ticks once the one before is shown, and is shown when its
+    own interval of frames is over."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    interval = cdiv(frames * clock * rate_d, rate_n)
+    return df.withColumn("pts", F.sum(interval + transfer).over(w)).withColumn("dts", F.col("pts") - interval)
+
+
 def access_units(df: DataFrame, key: str, text: str, token: str) -> DataFrame:
     """Cuts each payload where a start token stands: key, unit, start (characters from 0), length. What stands before
     the first token is unit 0 if there is any; null holds no unit. One pass over each text, no shuffle."""

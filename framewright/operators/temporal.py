@@ -139,6 +139,17 @@ def split_groups(df: DataFrame, key: str, order: str, kind: str, intra_share: Co
     return d.withColumn("group", F.sum(F.when(F.col(kind) == "I", 1).otherwise(0)).over(w))
 
 
+def released(df: DataFrame, key: str, order: str, reference: Column) -> DataFrame:
+    """Adds released: the frame whose coding lets a frame leave the first pass's queue. A frame goes when nothing can refer
+    to it any more, at the second reference after it; what is left goes with the last frame."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    later = w.rowsBetween(Window.unboundedPreceding, -1)
+    near = lambda v: F.last(F.when(reference, v), ignorenulls=True).over(later)
+    d = df.withColumn("__next", near(F.col(order)))
+    d = d.withColumn("__second", near(F.col("__next"))).withColumn("__last", F.first(order).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("released", F.coalesce("__second", "__last")).drop("__next", "__second", "__last")
+
+
 def audio_range(frame: Column, rate: int, fps_n: int, fps_d: int) -> tuple[Column, Column]:
     """First and last + 1 sample of a video frame."""
     first = lambda n: cdiv(n * rate * fps_d, fps_n)

@@ -213,15 +213,20 @@ def device_conflict(spark, sf):
     return guide.device_conflicts(listings(spark, sf), "o_custkey", "s0", "s1", "o_orderkey").select("o_custkey", "o_orderkey", "conflict")
 
 
-@query("guide_append", f"""WITH {LIST}, d AS (SELECT o_custkey % 97 AS station, s0 // 86400 AS a, s1 // 86400 AS z, o_orderkey FROM li),
-o AS (SELECT DISTINCT station, a, z FROM d WHERE o_orderkey % 2 = 0), w AS (SELECT DISTINCT station, a, z FROM d WHERE o_orderkey % 2 = 1),
-u AS (SELECT * FROM o UNION SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.station = w.station AND o.a = w.a) AND NOT EXISTS (SELECT 1 FROM o WHERE o.station = w.station AND o.z = w.z)),
-m AS (SELECT *, CASE WHEN a = lag(z) OVER x THEN 0 ELSE 1 END AS b FROM u WINDOW x AS (PARTITION BY station ORDER BY a, z)),
-k AS (SELECT *, sum(b) OVER (PARTITION BY station ORDER BY a, z) AS g FROM m)
-SELECT station, min(a) AS a, max(z) AS z, count(*) AS n FROM k GROUP BY station, g""")
+@query("guide_append", f"""WITH {LIST}, d AS (SELECT o_custkey % 97 AS station, substr(o_orderpriority, 1, 1) AS title_id, o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '..' ELSE '' END AS title, s0 // 86400 AS a, s1 // 86400 AS z, (s1 // 86400 - s0 // 86400) * 1440 AS length, o_orderkey FROM li),
+o AS (SELECT * EXCLUDE o_orderkey FROM d WHERE o_orderkey % 2 = 0), w AS (SELECT * EXCLUDE o_orderkey FROM d WHERE o_orderkey % 2 = 1),
+f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.station = w.station AND o.title_id = w.title_id AND o.a = w.a) AND NOT EXISTS (SELECT 1 FROM o WHERE o.station = w.station AND o.title_id = w.title_id AND o.z = w.z)
+QUALIFY row_number() OVER (PARTITION BY station, title_id, a ORDER BY z, title) = 1 AND row_number() OVER (PARTITION BY station, title_id, z ORDER BY a, title) = 1),
+u AS (SELECT *, 0 AS fresh FROM o UNION ALL SELECT *, 1 FROM f),
+m AS (SELECT *, row_number() OVER x AS n, CASE WHEN fresh = 1 AND a = lag(z) OVER x THEN 0 ELSE 1 END AS b FROM u WINDOW x AS (PARTITION BY station, title_id ORDER BY a, z, fresh, title)),
+k AS (SELECT *, sum(b) OVER (PARTITION BY station, title_id ORDER BY n) AS g FROM m)
+SELECT station, title_id, min(a) AS a, max(z) AS z, CAST(sum(length) AS BIGINT) AS length, coalesce(arg_min(title, n) FILTER (instr(title, '..') <= 1), arg_max(title, n)) AS title FROM k GROUP BY station, title_id, g""")
 def guide_append(spark, sf):
-    d = listings(spark, sf).select((F.col("o_custkey") % 97).alias("station"), cdiv(F.col("s0"), 86400).alias("a"), cdiv(F.col("s1"), 86400).alias("z"), "o_orderkey")
-    return guide.append_entries(d.filter("o_orderkey % 2 = 0").drop("o_orderkey"), d.filter("o_orderkey % 2 = 1").drop("o_orderkey"), ["station"], "a", "z")
+    """Orders with an odd key are new. Every third title is cut short."""
+    title = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "..").otherwise("")).alias("title")
+    d = listings(spark, sf).select((F.col("o_custkey") % 97).alias("station"), F.substring("o_orderpriority", 1, 1).alias("title_id"), title, cdiv(F.col("s0"), 86400).alias("a"), cdiv(F.col("s1"), 86400).alias("z"), "o_orderkey")
+    d = d.withColumn("length", (F.col("z") - F.col("a")) * 1440)
+    return guide.append_entries(d.filter("o_orderkey % 2 = 0"), d.filter("o_orderkey % 2 = 1"), ["station", "title_id"], "a", "z", "length", "title")
 
 
 @query("station_fallback", "SELECT s_suppkey, CAST(s_suppkey % 40 AS VARCHAR) AS key, coalesce(n_name, r_name, CAST(s_suppkey % 40 AS VARCHAR)) AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_suppkey % 40 LEFT JOIN region ON r_regionkey = s_suppkey % 40 - 25")
@@ -789,4 +794,4 @@ def rate_control(spark, sf):
     return spark.createDataFrame(got, "target int, control double")
 
 
-from . import more  # noqa: E402, F401  registers its queries here
+from . import formats, more  # noqa: E402, F401  register their queries here

@@ -72,25 +72,89 @@ def video_units(data: bytes) -> Iterator[tuple[int, int, int, str, int, bool, bo
         yield unit, start, len(data) - start, *picture, seq, False
 
 
-# Kilobits a second by index, and samples a second, of audio layer II of version 1.
-LAYER2_RATES = [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384]
+# Kilobits a second by index, for (version, layer); versions at lower rates share those of 2.
+AUDIO_RATES = {
+    (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
+    (1, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
+    (1, 3): [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320],
+    (2, 1): [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256],
+    (2, 2): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+    (2, 3): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+}
+# Samples a second of version 1; how often they are halved by version bits.
 SAMPLE_RATES = [44100, 48000, 32000]
+HALVED = {3: 0, 2: 1, 0: 2}
 
 
 def audio_units(data: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(unit, start, length, samples a second) of layer II frames; bytes that begin no frame are passed over."""
+    """(unit, start, length, samples a second) of MPEG audio frames of all versions and layers; bytes that begin no
+    frame are passed over, a last frame may be short."""
     at, unit = 0, 0
     while at + 4 <= len(data):
-        a, b, c, _ = data[at : at + 4]
-        rate, freq = c >> 4, c >> 2 & 3
-        if a == 0xFF and b & 0xFE == 0xFC and 0 < rate < 15 and freq < 3:
-            n = 144000 * LAYER2_RATES[rate] // SAMPLE_RATES[freq] + (c >> 1 & 1)
-            yield unit, at, min(n, len(data) - at), SAMPLE_RATES[freq]
+        a, b, c = data[at : at + 3]
+        version, layer, index, freq = b >> 3 & 3, 4 - (b >> 1 & 3), c >> 4, c >> 2 & 3
+        if a == 0xFF and b >= 0xE0 and version in HALVED and layer < 4 and 0 < index < 15 and freq < 3:
+            rate = SAMPLE_RATES[freq] >> HALVED[version]
+            slots, size = (12, 4) if layer == 1 else (144, 1)
+            n = size * (AUDIO_RATES[1 if version == 3 else 2, layer][index] * slots * 1000 // rate + (c >> 1 & 1))
+            yield unit, at, min(n, len(data) - at), rate
             unit, at = unit + 1, at + n
         else:
             at += 1
 
 
+# Kilobits a second by half the size code, and samples a second.
+AC3_RATES = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640]
+AC3_SAMPLE_RATES = [48000, 44100, 32000]
+
+
+def ac3_units(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(unit, start, length, samples a second) of AC-3 frames: 1536 samples in whole 16-bit words, one more at 44.1 kHz
+    under an odd size code. An incomplete last frame goes; other bytes between frames are an error."""
+    at, unit = 0, 0
+    while at + 5 <= len(data):
+        freq, code = data[at + 4] >> 6, data[at + 4] & 63
+        if data[at : at + 2] != b"\x0b\x77" or freq == 3 or code >= 2 * len(AC3_RATES):
+            raise ValueError(f"no AC-3 frame at byte {at}")
+        rate = AC3_SAMPLE_RATES[freq]
+        n = 2 * (AC3_RATES[code // 2] * 96000 // rate + (code % 2 if rate == 44100 else 0))
+        if at + n <= len(data):
+            yield unit, at, n, rate
+        unit, at = unit + 1, at + n
+
+
+def dts_units(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(unit, start, length, samples) of DTS frames. An incomplete last frame goes; other bytes between frames are an
+    error."""
+    at, unit = 0, 0
+    while at + 8 <= len(data):
+        if data[at : at + 4] != b"\x7f\xfe\x80\x01":
+            raise ValueError(f"no DTS frame at byte {at}")
+        bits = BitReader(data[at + 4 : at + 8])
+        bits.bits(7)
+        samples, n = 32 * (bits.bits(7) + 1), bits.bits(14) + 1
+        if at + n <= len(data):
+            yield unit, at, n, samples
+        unit, at = unit + 1, at + n
+
+
+def scan_payloads(df: DataFrame, key: str, payload: str, scanner: Callable[[bytes], Iterator[tuple]], fields: list[str]) -> DataFrame:
+    """The rows of a scanner over each binary payload: key, then its fields as longs. Null holds none. No shuffle."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            keys, columns = [], [[] for _ in fields]
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for row in scanner(data or b""):
+                    keys.append(k)
+                    for c, v in zip(columns, row):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *[pa.array(c, pa.int64()) for c in columns]], names=[key, *fields])
+
+    return df.select(key, payload).mapInArrow(run, ", ".join([f"{key} {kind}", *[f"{f} long" for f in fields]]))
+
+
 def fixed_units(size: int, frame: int) -> Iterator[tuple[int, int, int]]:
     """(unit, start, length) of uncompressed audio: frames of one size, the last may be short."""
     for unit, at in enumerate(range(0, size, frame)):

@@ -54,16 +54,17 @@ def frame_presentation(tag: Column, lace: Column) -> Column:
     return F.when(lace == "m", tag).when(lace == "p", "1pp").when(lace == "t", "tii").when(lace == "b", "bii").otherwise("1??")
 
 
-FRAMES = "path string, frame_no long, tag string, width int, height int, chroma string, y array<long>, u array<long>, v array<long>, a array<long>"
+FRAMES = "path string, frame_no long, tag string, width int, height int, chroma string, y array<long>, u array<long>, v array<long>, a array<long>, interlace string, fps string, sar string, xtags array<string>, frame_xtags array<string>"
 
 
 def scan_stream(content: bytes):
-    """(header tags, iterator of (frame tags, planes)) of one stream's bytes. Raises ValueError on a broken stream."""
+    """(header: size, chroma and other tags, iterator of (frame tags, planes)) of one stream's bytes. Raises ValueError on a broken stream."""
     end = content.find(b"\n")
     head = content[:end].decode("latin-1").split(" ")
     if end < 0 or head[0] != STREAM:
         raise ValueError("no stream header")
     tags = {t[0]: t[1:] for t in head[1:] if t}
+    tags["X"] = [t[1:] for t in head[1:] if t[:1] == "X"]
     w, h, chroma = int(tags["W"]), int(tags["H"]), tags.get("C", "420jpeg")
     if w <= 0 or h <= 0 or chroma not in CHROMA:
         raise ValueError("bad width, height or chroma")
@@ -85,54 +86,74 @@ def scan_stream(content: bytes):
                 at += n
             yield line[1:], planes
 
-    return (w, h, chroma), frames()
+    return (w, h, chroma, tags.get("I"), tags.get("F"), tags.get("A"), tags["X"]), frames()
 
 
-def read_streams(spark: SparkSession, path: str, batch: int = 64) -> DataFrame:
-    """Frames of all stream files under a path."""
+def parse_streams(files: DataFrame, batch: int = 64) -> DataFrame:
+    """Frames of all streams of (path, content), with their tags and those of their streams."""
 
     def rows(out):
         names = [f.split(" ")[0] for f in FRAMES.split(", ")]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()] + [pa.list_(pa.int64())] * 4
+        texts = pa.list_(pa.string())
+        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()] + [pa.list_(pa.int64())] * 4 + [pa.string()] * 3 + [texts] * 2
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
 
     def run(batches):
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (w, h, chroma), frames = scan_stream(content)
+                (w, h, chroma, *told), frames = scan_stream(content)
                 out = []
                 for n, (tags, planes) in enumerate(frames):
                     full = [list(x) for x in planes] + [None] * (4 - len(planes))
                     tag = next((t[1:] for t in tags if t.startswith("I")), None)
-                    out.append((p, n, tag, w, h, chroma, *full))
+                    out.append((p, n, tag, w, h, chroma, *full, *told, [t[1:] for t in tags if t[:1] == "X"]))
                     if len(out) == batch:
                         yield rows(out)
                         out = []
                 if out:
                     yield rows(out)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, FRAMES)
+    return files.select("path", "content").mapInArrow(run, FRAMES)
+
+
+def read_streams(spark: SparkSession, path: str, batch: int = 64) -> DataFrame:
+    """Frames of all stream files under a path."""
+    return parse_streams(spark.read.format("binaryFile").load(path), batch)
 
 
 def write_stream(df: DataFrame, key: str = "path") -> DataFrame:
-    """Frames -> one row (key, content) per stream. A stream is one value, so it must fit a task, as its file would."""
+    """Frames -> one row (key, content) per stream. A stream is one value, so it must fit a task, as its file would.
+    Stream tags are those of its first frame; columns of tags may be missing."""
     kind = dict(df.dtypes)[key]
+    letters = [(c, n) for c, n in (("I", "interlace"), ("F", "fps"), ("A", "sar")) if n in df.columns]
+    lists = [n for n in ("xtags", "frame_xtags") if n in df.columns]
 
     def run(p):
         import pandas as pd
 
+        extra = lambda row, name: [f"X{t}" for t in (getattr(row, name) if name in lists and getattr(row, name) is not None else [])]
+        line = lambda parts: (" ".join(parts) + "\n").encode("latin-1")
         p = p.sort_values("frame_no")
         r = p.iloc[0]
-        out = [f"{STREAM} W{r.width} H{r.height} C{r.chroma}\n".encode()]
+        out = [line([STREAM, f"W{r.width}", f"H{r.height}", *[c + r[n] for c, n in letters if r[n]], f"C{r.chroma}", *extra(r, "xtags")])]
         for row in p.itertuples():
-            out.append(b"FRAME" + (f" I{row.tag}".encode() if row.tag else b"") + b"\n")
+            out.append(line(["FRAME", *([f"I{row.tag}"] if row.tag else []), *extra(row, "frame_xtags")]))
             out += [bytes(int(v) for v in x) for x in (row.y, row.u, row.v, row.a) if x is not None]
         return pd.DataFrame({key: [r[key]], "content": [b"".join(out)]})
 
     return df.groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
 
 
+def raw_bytes(*planes: Column) -> Column:
+    """The planes' values as bytes, one plane behind the other, without headers."""
+    return F.unhex(F.concat(*[F.array_join(F.transform(p, lambda v: F.lpad(F.hex(v), 2, "0")), "") for p in planes]))
+
+
+def grey_image(plane: Column, w: int, h: int) -> Column:
+    """A plane as a binary grey map."""
+    return F.concat(F.encode(F.lit(f"P5\n{w} {h}\n255\n"), "US-ASCII"), raw_bytes(plane))
+
+
 def constant_frames(spark: SparkSession, n: int, w: int, h: int, y: int = 16, u: int = 128, v: int = 128) -> DataFrame:
     """n frames of one colour (4:2:0)."""
     c = (w // 2) * (h // 2)

@@ -236,3 +236,50 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = sorted((r.k, r.seq, r.lost) for r in temporal.lost_frames(whole, "k", "n", "seq").collect())
     assert sorted(map(tuple, spark.table("lost").collect())) == want
+
+
+def test_stream_tags(spark, tmp_path):
+    content = b"YUV4MPEG2 W2 H1 Ib F30000:1001 A10:11 Cmono Xone X\nFRAME It12 Xlate\n\x10\xffFRAME\n\x00\x01"
+    (tmp_path / "x.y4m").write_bytes(content)
+    got = frames.read_streams(spark, str(tmp_path)).orderBy("frame_no").collect()
+    assert [(r.interlace, r.fps, r.sar, r.xtags, r.tag, r.frame_xtags) for r in got] == [("b", "30000:1001", "10:11", ["one", ""], "t12", ["late"]), ("b", "30000:1001", "10:11", ["one", ""], None, [])]
+    again = bytes(frames.write_stream(frames.read_streams(spark, str(tmp_path))).first().content)
+    head, *rest = frames.scan_stream(again)
+    assert head == (2, 1, "mono", "b", "30000:1001", "10:11", ["one", ""]) and [t for t, _ in rest[0]] == [["It12", "Xlate"], []]
+
+
+def test_audio_frames_that_are_broken():
+    ac3 = bytes.fromhex("0b77000041") + bytes(2 * 70 - 5)  # 44.1 kHz, an odd code
+    assert list(containers.ac3_units(ac3 * 2 + ac3[:20])) == [(0, 0, 140, 44100), (1, 140, 140, 44100)]
+    dts = bytes.fromhex("7ffe8001") + (((7 << 14) | 99) << 4).to_bytes(4, "big") + bytes(92)
+    assert list(containers.dts_units(dts + dts[:50])) == [(0, 0, 100, 256)]
+    for scan, data in ((containers.ac3_units, ac3 + b"12345678"), (containers.dts_units, dts + b"12345678")):
+        with pytest.raises(ValueError):
+            list(scan(data))
+    assert not list(containers.ac3_units(b"")) and not list(containers.dts_units(b"")) and not list(containers.audio_units(b""))
+
+
+def test_scan_payloads_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray(b""))], "k int, p binary")
+    got = containers.scan_payloads(df, "k", "p", containers.audio_units, ["unit", "start", "length", "rate"])
+    assert got.dtypes[0] == ("k", "int") and got.count() == 0
+
+
+def test_append_entries(spark):
+    from framewright.operators import guide
+
+    kind = "s string, a long, z long, n long, t string"
+    old = spark.createDataFrame([("x", 0, 10, 10, "news.."), ("x", 10, 20, 10, "late"), ("y", 0, 5, 5, "y")], kind)
+    new = spark.createDataFrame([("x", 20, 30, 7, "more"), ("x", 20, 40, 9, "repeat"), ("x", 5, 10, 5, "stop is known"), ("y", 5, 8, 3, "y2"), ("z", 1, 2, 1, "..z"), ("z", 2, 3, 1, "q")], kind)
+    got = sorted(tuple(r) for r in guide.append_entries(old, new, ["s"], "a", "z", "n", "t").collect())
+    # old listings that touch stay apart; the new one extends the second
+    assert got == [("x", 0, 10, 10, "news.."), ("x", 10, 30, 17, "late"), ("y", 0, 8, 8, "y"), ("z", 1, 3, 2, "..z")]
+    cut = guide.append_entries(spark.createDataFrame([("x", 0, 1, 1, "a..")], kind), spark.createDataFrame([("x", 1, 2, 1, "b..x"), ("x", 2, 3, 1, "whole")], kind), ["s"], "a", "z", "n", "t")
+    assert [tuple(r) for r in cut.collect()] == [("x", 0, 3, 3, "whole")]
+
+
+def test_place_and_cut(spark):
+    x = range(6)  # 3 x 2
+    assert one(spark, x, lambda p: filters.cut(p, 3, 2, 1, 0, 2, 2)) == [1, 2, 4, 5]
+    assert one(spark, x, lambda p: filters.place(p, 3, 2, 2, 3, "BR", 9)) == [9, 9, 1, 2, 4, 5]
+    assert one(spark, x, lambda p: filters.place(p, 3, 2, 2, 1, "CC")) == [0, 1]
