@@ -125,8 +125,8 @@ def round_to(v: Column, step: int) -> Column:
 
 
 def search_radius(r: Column) -> Column:
-    """A radius rounded up to a multiple of 8, 8 at least."""
-    return F.greatest(cdiv(r + 7, 8) * 8, F.lit(8))
+    """A radius rounded to a multiple of 8, halves up, 8 at least."""
+    return F.greatest(cdiv(r + 4, 8) * 8, F.lit(8))
 
 
 def to_bcd(v: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planes import at, bound, cdiv, let, total
-from .stats import bidirectional_ssd, ssd, variance
+from .stats import bidirectional_ssd, half_pel, sad, ssd, variance
 
 WEIGHT_CAP = 65025
 
@@ -58,6 +58,24 @@ def median_motion(df: DataFrame, key: list[str], motion: str, values: range) ->
     return hist.select(*key, walk.alias("median"))
 
 
+@bound
+def half_candidates(block: Column, ref: Column, bw: int, bh: int, w: int, h: int, x: int, y: int) -> Column:
+    """ARRAY<STRUCT<weight, dx, dy>> of the nine places within half a value of (x, y), dx and dy in halves."""
+
+    def weighed(planes):
+        out = []
+        for plane, right, down in ((p, i % 2, i // 2) for i, p in enumerate(planes)):
+            for dy in (-1, 1) if down else (0,):
+                for dx in (-1, 1) if right else (0,):
+                    px, py = x + dx // 2, y + dy // 2
+                    if px >= 0 and py >= 0 and px + bw + right <= w and py + bh + down <= h:
+                        out.append(F.struct(sad(block, block_of(plane, w, px, py, bw, bh)).alias("weight"), F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")))
+        return F.array(*out)
+
+    moved = F.array(*[half_pel(ref, w, h, i % 2, i // 2) for i in range(4)])
+    return let(moved, lambda m: weighed([F.get(m, i) for i in range(4)]))
+
+
 # Fixed value: what intra coding weighs beyond its variance, since it can't be left out.
 INTRA_PENALTY = 3 * 3 * 256
 

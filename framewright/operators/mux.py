@@ -28,6 +28,22 @@ def late_units(df: DataFrame, sent: Column, deadline: Column) -> DataFrame:
     return df.withColumn("late", sent >= deadline)
 
 
+def underruns(df: DataFrame, stream: str, turn: str, late: Column, grace: int = 300, most: int = 10) -> DataFrame:
+    """Late turns that count: after one, those within `grace` turns do not. Columns: stream, underruns, stopped_at (the
+    turn whose count exceeds `most`, else null; nothing is counted after it). Each count rests on the one before, so a
+    stream's late turns fold in order; the fold keeps three numbers."""
+    turns = df.filter(late).groupBy(stream).agg(F.array_sort(F.collect_list(F.col(turn).cast("long"))).alias("__t"))
+    whole = F.lit(None).cast("long")
+    start = F.struct(whole.alias("last"), F.lit(0).cast("long").alias("n"), whole.alias("stop"))
+
+    def step(s, t):
+        counts = s.stop.isNull() & (s["last"].isNull() | (t >= s["last"] + grace))
+        n = s.n + counts.cast("long")
+        return F.struct(F.when(counts, t).otherwise(s["last"]).alias("last"), n.alias("n"), F.when(counts & (n > most), t).otherwise(s.stop).alias("stop"))
+
+    return turns.select(stream, F.aggregate("__t", start, step).alias("__s")).select(stream, F.col("__s.n").alias("underruns"), F.col("__s.stop").alias("stopped_at"))
+
+
 def segments(df: DataFrame, stream: str, order: list[str], size: str, limit: int) -> DataFrame:
     """Adds segment: the number of whole limits in the bytes before a unit."""
     w = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -18,6 +18,37 @@ def sketch(df: DataFrame, value: str, buckets: int, *by: str) -> DataFrame:
     return d.groupBy(*by, "bucket").agg(F.count("*").alias("samples"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"))
 
 
+def nearest_sketch(df: DataFrame, value: str, buckets: int, *by: str, cells: int = 1024) -> DataFrame:
+    """A bounded summary whose buckets follow the data: of neighbours, those with the least gap * log(samples) join until
+    `buckets` are left (ties to the lower ones). It begins with `cells` equal shares of the range, which partial sums fill
+    in any order, so one key is a bounded number of rows and the order of arrival decides nothing."""
+    kinds = dict(df.dtypes)
+    fine = sketch(df, value, cells, *by)
+    keys = list(by) or ["__one"]
+    fine = fine if by else fine.withColumn("__one", F.lit(0))
+    schema = ", ".join([*[f"{k} {kinds.get(k, 'int')}" for k in keys], "bucket long, samples long, lo double, hi double, mean double"])
+
+    def run(p):
+        import math
+
+        import pandas as pd
+
+        p = p.sort_values("bucket")
+        rows = [list(r) for r in zip(p["samples"], p["lo"], p["hi"], p["mean"] * p["samples"])]
+        while len(rows) > buckets:
+            far = [(b[1] - a[2]) * math.log(a[0] + b[0]) for a, b in zip(rows, rows[1:])]
+            i = far.index(min(far))
+            (n, lo, _, s), (m, _, hi, t) = rows[i : i + 2]
+            rows[i : i + 2] = [[n + m, lo, hi, s + t]]
+        out = pd.DataFrame([(i, n, lo, hi, s / n) for i, (n, lo, hi, s) in enumerate(rows)], columns=["bucket", "samples", "lo", "hi", "mean"])
+        for k in keys:
+            out[k] = p[k].iloc[0]
+        return out[[*keys, "bucket", "samples", "lo", "hi", "mean"]]
+
+    joined = fine.select(*keys, "bucket", "samples", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "mean").groupBy(*keys).applyInPandas(run, schema)
+    return joined if by else joined.drop("__one")
+
+
 def predicted_rate(summary: DataFrame, control: float, exponent: float, most: float) -> float:
     """Mean of min(control * x * (x / mean)^exponent, most) over a summary's buckets."""
     m = summary.agg((F.sum(F.col("mean") * F.col("samples")) / F.sum("samples")).alias("m")).first().m

@@ -24,6 +24,16 @@ def scene_cuts(df: DataFrame, key: str, order: str, mean: Column, file: str | No
     return d.withColumn("scene", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__m", "__cut")
 
 
+def scene_list(df: DataFrame, key: str, order: str, mean: Column, file: str, threshold: int = 4) -> DataFrame:
+    """Scenes with first_frame, last_frame and joined: whether one only begins since the file or the frame number jumps,
+    while the picture stays (the first of a stream is not)."""
+    w = ordered(key, order)
+    d = df.withColumn("__m", mean)
+    same = F.coalesce(F.abs(F.col("__m") - F.lag("__m").over(w)) <= threshold, F.lit(False))
+    d = scene_cuts(d.withColumn("__same", same), key, order, F.col("__m"), file, threshold)
+    return d.groupBy(key, "scene").agg(F.min(order).alias("first_frame"), F.max(order).alias("last_frame"), F.min_by("__same", order).alias("joined"))
+
+
 def scenes(df: DataFrame, key: str, order: str, mean: Column, file: str | None = None, threshold: int = 4) -> DataFrame:
     cut = scene_cuts(df, key, order, mean, file, threshold)
     return cut.groupBy(key, "scene").agg(F.min(order).alias("first_frame"), F.max(order).alias("last_frame"))
@@ -157,7 +167,7 @@ def audio_range(frame: Column, rate: int, fps_n: int, fps_d: int) -> tuple[Colum
 
 
 def crosstalk(df: DataFrame, key: str, order: str, value: str, threshold: int) -> DataFrame:
-    """Suppresses noise that alternates: where a frame and the one before differ by less than the threshold and the one
+    """A rule of our own against noise that alternates: where a frame and the one before differ by less than the threshold and the one
     two before agrees with it better, it takes their mean."""
     w = ordered(key, order)
     a, b, r = F.lag(value, 1).over(w), F.lag(value, 2).over(w), F.col(value)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, motion, mux, temporal
+from ..operators import filters, motion, mux, rate, stats, temporal
 from ..sources import containers, frames as y4m
-from .catalog import BLK, FR, of_block, query, values
+from .catalog import BLK, FR, PAIR, of_block, query, scene_sql, values
 from .tables import blocks, frames, neighbours, table
 
 UNITS = ["unit", "start", "length"]
@@ -113,3 +113,47 @@ SELECT fr.user_id, fr.n AS frame_no, coalesce(r.nx, z.last) AS released FROM fr
 def first_pass_queue(spark, sf):
     d = temporal.released(frames(spark, sf), "user_id", "n", (F.col("n") % 3 == 0) | (F.col("t") == "error"))
     return d.select("user_id", F.col("n").alias("frame_no"), "released")
+
+
+@query("luminance_mean", f"WITH {PAIR} SELECT id, CAST(sum(v) AS BIGINT) // 12 AS mean FROM (SELECT id, a AS v FROM pr WHERE i IN (0, 1, 5, 6, 31, 32, 36, 37) UNION ALL SELECT id, b FROM pr WHERE i IN (0, 1, 5, 6)) GROUP BY id")
+def luminance_mean(spark, sf):
+    """An 8 x 8 plane of luma and the upper half of the next block as a plane of 8 x 4."""
+    d = neighbours(blocks(spark, sf), 1)
+    return d.select("id", stats.luminance_mean([(F.col("x"), 8, 8), (F.slice("x1", 1, 32), 8, 4)]).alias("mean"))
+
+
+@query("scene_list", scene_sql("user_id", "AND t = lag(t) OVER w", 20).replace("FROM fr WINDOW", ", coalesce(abs(floor(v) - lag(floor(v)) OVER w) <= 20, false) AS same FROM fr WINDOW") + " SELECT user_id, CAST(scene AS BIGINT) AS scene, min(n) AS first_frame, max(n) AS last_frame, arg_min(same, n) AS joined FROM k GROUP BY user_id, scene")
+def scene_list(spark, sf):
+    return temporal.scene_list(frames(spark, sf), "user_id", "n", F.floor("v"), "t", 20)
+
+
+@query("underruns", """WITH RECURSIVE l AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS turn, l_discount >= 0.07 AS late FROM lineitem),
+c AS (SELECT l_suppkey, min(turn) AS turn, CAST(1 AS BIGINT) AS n FROM l WHERE late GROUP BY 1 UNION ALL SELECT c.l_suppkey, (SELECT min(l.turn) FROM l WHERE late AND l.l_suppkey = c.l_suppkey AND l.turn >= c.turn + 20), n + 1 FROM c WHERE n < 11 AND c.turn IS NOT NULL)
+SELECT l_suppkey, CAST(max(n) AS BIGINT) AS underruns, max(CASE WHEN n = 11 THEN turn END) AS stopped_at FROM c WHERE turn IS NOT NULL GROUP BY 1""")
+def underruns(spark, sf):
+    """Lines of a supplier by date are its turns; those of a high discount are late."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    d = table(spark, sf, "lineitem").select("l_suppkey", F.row_number().over(w).alias("turn"), "l_discount")
+    return mux.underruns(d, "l_suppkey", "turn", F.col("l_discount") >= 0.07, 20)
+
+
+@query("half_match", f"""WITH {PAIR}, l AS MATERIALIZED (SELECT id, list(a ORDER BY i) AS p, list(b ORDER BY i) AS r FROM pr GROUP BY id), o AS (SELECT id, p, r, unnest(range(-1, 2)) AS dx FROM l), q AS (SELECT *, unnest(range(-1, 2)) AS dy FROM o),
+b AS (SELECT *, unnest([18, 19, 20, 21, 26, 27, 28, 29, 34, 35, 36, 37, 42, 43, 44, 45]) AS i FROM q),
+s AS (SELECT id, dx, dy, CAST(sum(abs(p[i + 1] - CASE WHEN dx <> 0 AND dy <> 0 THEN (r[i + 1] + r[i + 1 + dx] + r[i + 1 + 8 * dy] + r[i + 1 + 8 * dy + dx] + 2) >> 2 ELSE (r[i + 1] + r[i + 1 + 8 * dy + dx] + 1) >> 1 END)) AS BIGINT) AS weight FROM b GROUP BY id, dx, dy)
+SELECT id, weight, dx, dy FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight, dx, dy) = 1""")
+def half_match(spark, sf):
+    d = neighbours(blocks(spark, sf), 1)
+    found = motion.half_candidates(motion.block_of(F.col("x"), 8, 2, 2, 4, 4), F.col("x1"), 4, 4, 8, 8, 2, 2)
+    return d.select("id", motion.best(found).alias("m")).select("id", "m.*")
+
+
+@query("nearest_buckets", """WITH RECURSIVE e AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
+c AS (SELECT event_type, least(CAST(floor(coalesce((value - lo) / nullif(hi - lo, 0) * 128, 0)) AS BIGINT), 127) AS cell, value FROM events JOIN e USING (event_type)),
+f AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, sum(value) AS s FROM c GROUP BY event_type, cell),
+g AS (SELECT event_type, list({'n': n, 'lo': lo, 'hi': hi, 's': s} ORDER BY lo) AS l FROM f GROUP BY 1
+UNION ALL SELECT event_type, l[1:k - 1] || [{'n': l[k].n + l[k + 1].n, 'lo': l[k].lo, 'hi': l[k + 1].hi, 's': l[k].s + l[k + 1].s}] || l[k + 2:] FROM (SELECT *, list_position(d, list_min(d)) AS k FROM (SELECT *, [(l[i + 1].lo - l[i].hi) * ln(l[i].n + l[i + 1].n) FOR i IN range(1, len(l))] AS d FROM g WHERE len(l) > 16))),
+u AS (SELECT event_type, l, unnest(range(0, len(l))) AS bucket FROM g WHERE len(l) <= 16)
+SELECT event_type, bucket, l[bucket + 1].n AS samples, l[bucket + 1].lo AS lo, l[bucket + 1].hi AS hi, CAST(round(l[bucket + 1].s / l[bucket + 1].n * 10000) AS BIGINT) AS mean FROM u""")
+def nearest_buckets(spark, sf):
+    d = rate.nearest_sketch(table(spark, sf, "events"), "value", 16, "event_type", cells=128)
+    return d.withColumn("mean", F.round(F.col("mean") * 10000).cast("long"))

@@ -45,7 +45,7 @@ def round_to(spark, sf):
     return table(spark, sf, "events").select("event_id", scalar.round_away(F.col("value")).alias("whole"), scalar.round_to(F.col("value") - 60, 5).alias("fives"))
 
 
-@query("search_radius", "SELECT p_partkey, CAST(greatest(ceil(p_size / 8.0) * 8, 8) AS BIGINT) AS radius FROM part")
+@query("search_radius", "SELECT p_partkey, CAST(greatest(floor(p_size / 8.0 + 0.5) * 8, 8) AS BIGINT) AS radius FROM part")
 def search_radius(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scalar.search_radius(F.col("p_size")).alias("radius"))
 

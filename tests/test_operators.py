@@ -283,3 +283,56 @@ def test_place_and_cut(spark):
     assert one(spark, x, lambda p: filters.cut(p, 3, 2, 1, 0, 2, 2)) == [1, 2, 4, 5]
     assert one(spark, x, lambda p: filters.place(p, 3, 2, 2, 3, "BR", 9)) == [9, 9, 1, 2, 4, 5]
     assert one(spark, x, lambda p: filters.place(p, 3, 2, 2, 1, "CC")) == [0, 1]
+
+
+# The extents of the reference's own check, half-open, all on one row.
+BASE = [(1, 4), (5, 7), (10, 20)]
+ADDED = [(4, 5), (15, 16), (6, 10), (8, 9), (6, 9), (9, 21), (9, 18), (10, 15), (25, 30)]
+TAKEN = [(0, 2), (1, 2), (3, 5), (3, 6), (4, 6), (3, 12), (0, 12), (22, 25), (15, 17), (5, 7)]
+
+
+def test_region_cases(spark):
+    def rows(cases):
+        return spark.createDataFrame([(k, a, z) for k, ext in enumerate(cases) for a, z in ext], "k int, x0 int, x1 int")
+
+    def extents(points):
+        return {(p, next(q for q in range(p, 99) if q not in points)) for p in points if p - 1 not in points}
+
+    def got(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.k, set()).add((r.x0, r.x1))
+        return out
+
+    base = {p for a, z in BASE for p in range(a, z)}
+    both = got(regions.union(rows([[*BASE, e] for e in ADDED]), ["k"]))
+    assert both == {k: extents(base | set(range(*e))) for k, e in enumerate(ADDED)}
+    assert both[0] == {(1, 7), (10, 20)} and both[2] == {(1, 4), (5, 20)}  # touching extents are one
+    left = got(regions.subtract(rows([BASE] * len(TAKEN)), rows([[e] for e in TAKEN]), ["k"]))
+    assert left == {k: extents(base - set(range(*e))) for k, e in enumerate(TAKEN)}
+    many = lambda ext: spark.createDataFrame(ext, "y int, x0 int, x1 int")
+    a, b = [(0, 24, 26), (1, 24, 26)], [(y, *e) for y in (0, 1) for e in ((10, 12), (24, 26))]
+    assert not regions.subtract(many(a), many(b), ["y"]).collect()
+
+
+def test_nearest_sketch(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(c, 0.2) for c in (0, 0, 0, 10, 50) for _ in range(40)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    got = rate.nearest_sketch(df, "v", 3, cells=64).orderBy("bucket").collect()
+    assert [r.samples for r in got] == [120, 40, 40] and sum(r.mean * r.samples for r in got) == pytest.approx(sum(values))
+    assert got[0].lo == min(values) and got[2].hi == max(values) and got[0].hi < got[1].lo
+    few = rate.nearest_sketch(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 3).collect()
+    assert [(r.bucket, r.samples, r.lo, r.hi) for r in few] == [(0, 2, 2.0, 2.0)]
+    assert not rate.nearest_sketch(df.limit(0), "v", 3).collect()
+
+
+def test_underruns_and_release(spark):
+    from framewright.operators import mux
+
+    turns = spark.createDataFrame([("a", t, t % 2 == 0) for t in range(60)] + [("b", 1, False)], "s string, t int, late boolean")
+    got = mux.underruns(turns, "s", "t", F.col("late"), 5, 3).collect()
+    assert [tuple(r) for r in got] == [("a", 4, 18)]  # 0, 6, 12 and the fourth at 18
+    kinds = spark.createDataFrame([(1, i, c) for i, c in enumerate("IBBPBBPB")], "k int, n int, c string")
+    out = temporal.released(kinds, "k", "n", F.col("c") != "B").orderBy("n").collect()
+    assert [r.released for r in out] == [6, 6, 6, 7, 7, 7, 7, 7]
