@@ -278,6 +278,20 @@ def test_append_entries(spark):
     assert [tuple(r) for r in cut.collect()] == [("x", 0, 3, 3, "whole")]
 
 
+def test_append_equal_entries(spark):
+    from framewright.operators import guide
+
+    new = spark.createDataFrame([("x", i // 2, i // 2 + 1, 1, "t") for i in range(400)], "s string, a long, z long, n long, t string")
+    joined = guide.append_entries(new.limit(0), new, ["s"], "a", "z", "n", "t")
+    # sorts that spill do not keep the order of equal rows
+    conf, spill = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(spill, "3")
+    try:
+        assert [tuple(r) for r in joined.collect()] == [("x", 0, 200, 200, "t")]
+    finally:
+        conf.remove(spill)
+
+
 def test_place_and_cut(spark):
     x = range(6)  # 3 x 2
     assert one(spark, x, lambda p: filters.cut(p, 3, 2, 1, 0, 2, 2)) == [1, 2, 4, 5]
