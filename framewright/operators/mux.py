@@ -9,8 +9,9 @@ from ..functions.planes import cdiv
 
 
 def deadline_order(df: DataFrame, group: list[str], deadline: str, ties: list[str], size: str) -> DataFrame:
-    """Adds seq and pos (bytes before it): units of a multiplex by deadline, ties by the given order."""
-    w = Window.partitionBy(*group).orderBy(deadline, *ties)
+    """Adds seq and pos (bytes before it): units of a multiplex by deadline, ties by the given order, then the larger first,
+    so that no position rests on the order in which rows arrive."""
+    w = Window.partitionBy(*group).orderBy(deadline, *ties, F.desc(size))
     return df.withColumn("seq", F.row_number().over(w).cast("long") - 1).withColumn("pos", (F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)).cast("long"))
 
 

@@ -341,6 +341,16 @@ def test_nearest_sketch(spark):
     assert not rate.nearest_sketch(df.limit(0), "v", 3).collect()
 
 
+def test_deadline_order_of_ties(spark):
+    from framewright.operators import mux
+
+    units = [("m", 1, 7, 3.0), ("m", 1, 7, 5.0), ("m", 1, 6, 2.0), ("m", 2, 7, 4.0)]
+    for rows in (units, units[::-1]):
+        df = spark.createDataFrame(rows, "g string, due long, key long, size double").coalesce(1)
+        got = mux.deadline_order(df, ["g"], "due", ["key"], "size").orderBy("seq").select("size", "pos").collect()
+        assert [tuple(r) for r in got] == [(2.0, 0), (5.0, 2), (3.0, 7), (4.0, 10)]
+
+
 def test_underruns_and_release(spark):
     from framewright.operators import mux
 
