@@ -267,6 +267,12 @@ def test_raw_bytes_cut_no_value(spark):
     assert bytes(one(spark, [-1, 1], lambda p: frames.grey_image(p, 2, 1))) == b"P5\n2 1\n255\n" + b"\xff" * 8 + b"\x01"
 
 
+def test_a_millionth_under_a_half_rounds_up(spark):
+    """Exact results: 112.49999985 and 85.49999964."""
+    x = [140, 137, 123, 165, 120, 134, 153, 86, 83, 185, 153, 99, 117, 113, 129, 125, 171, 132, 78, 109, 135, 102, 165, 159, 136, 93, 126, 133, 123, 78, 143, 159, 127, 103, 149, 126, 145, 141, 165, 127, 149, 117, 91, 98, 123, 130, 123, 113, 141, 121, 110, 116, 144, 124, 79, 126, 120, 123, 134, 115, 30, 125, 140, 169]
+    assert one(spark, x, lambda p: filters.low_pass(p, 8, 8, 3, 0.5))[33] == 113
+
+
 def test_audio_frames_that_are_broken():
     ac3 = bytes.fromhex("0b77000041") + bytes(2 * 70 - 5)  # 44.1 kHz, an odd code
     assert list(containers.ac3_units(ac3 * 2 + ac3[:20])) == [(0, 0, 140, 44100), (1, 140, 140, 44100)]
