@@ -271,6 +271,8 @@ def test_a_millionth_under_a_half_rounds_up(spark):
     """Exact results: 112.49999985 and 85.49999964."""
     x = [140, 137, 123, 165, 120, 134, 153, 86, 83, 185, 153, 99, 117, 113, 129, 125, 171, 132, 78, 109, 135, 102, 165, 159, 136, 93, 126, 133, 123, 78, 143, 159, 127, 103, 149, 126, 145, 141, 165, 127, 149, 117, 91, 98, 123, 130, 123, 113, 141, 121, 110, 116, 144, 124, 79, 126, 120, 123, 134, 115, 30, 125, 140, 169]
     assert one(spark, x, lambda p: filters.low_pass(p, 8, 8, 3, 0.5))[33] == 113
+    x = [134, 136, 101, 121, 173, 138, 106, 136, 87, 127, 140, 145, 115, 144, 152, 108, 166, 135, 95, 151, 183, 143, 134, 99, 144, 140, 152, 179, 103, 157, 126, 139, 132, 59, 81, 143, 122, 135, 121, 87, 119, 164, 128, 136, 166, 133, 160, 104, 138, 137, 65, 130, 129, 101, 110, 124, 101, 81, 106, 143, 83, 147, 104, 133]
+    assert one(spark, x, lambda p: filters.unsharp(p, 8, 8, 1.0, 1.5, 6))[12] == 86
 
 
 def test_audio_frames_that_are_broken():
