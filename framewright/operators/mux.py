@@ -110,36 +110,45 @@ def access_units(df: DataFrame, key: str, text: str, token: str) -> DataFrame:
 def schedule(df: DataFrame, group: str, stream: str, dts: str, size: str, rate: float, buffer: int, order: str) -> DataFrame:
     """The exact loop for multiplexes that fit a task: at each turn buffers drain what is due before the clock, and of the
     ready streams (room for the unit) the one whose next unit is due first sends it; if none is ready the clock moves to
-    the next drain. Rows: group, stream, order, sent, late. Grouped Python; a group is one multiplex."""
+    the next drain. Units of a stream go by dts, then order, then size. Rows: group, stream, order, sent, late. Grouped
+    Python over Arrow columns; a group is one multiplex."""
     kinds = dict(df.dtypes)
     schema = f"{group} {kinds[group]}, {stream} {kinds[stream]}, {order} {kinds[order]}, sent double, late boolean"
 
-    def run(p):
-        from collections import deque
-
-        p = p.sort_values([stream, dts, order])
-        names = sorted(p[stream].unique())
-        todo = {s: deque(p.loc[p[stream] == s, [order, dts, size]].itertuples(index=False, name=None)) for s in names}
-        held = {s: deque() for s in names}
-        used = dict.fromkeys(names, 0)
-        clock, out = None, []
-        while any(todo.values()):
-            clock = min(q[0][1] for q in todo.values() if q) - buffer / rate if clock is None else clock
-            for s in names:
-                while held[s] and held[s][0][0] < clock:
-                    used[s] -= held[s].popleft()[1]
-            ready = [(todo[s][0][1], i, s) for i, s in enumerate(names) if todo[s] and (used[s] + todo[s][0][2] <= buffer or not held[s])]
-            if not ready:
-                clock = min(held[s][0][0] for s in names if held[s]) + 1e-9
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by([(c, "ascending") for c in (stream, dts, order, size)])
+        names, due, sizes = (t[c].to_pylist() for c in (stream, dts, size))
+        # Each stream is a stretch of these lists; of it, what lies before held is drained, and before todo is sent.
+        starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+        ends = [*starts[1:], len(names)]
+        held, todo, used = list(starts), list(starts), [0] * len(starts)
+        clock = min(due[k] for k in starts) - buffer / rate
+        rows, sent, late = [], [], []
+        while len(rows) < len(names):
+            turn = first = drain = None
+            for s, end in enumerate(ends):
+                h, k = held[s], todo[s]
+                while h < k and due[h] < clock:
+                    used[s] -= sizes[h]
+                    h += 1
+                held[s] = h
+                if k < end and (h == k or used[s] + sizes[k] <= buffer) and (turn is None or due[k] < first):
+                    turn, first = s, due[k]
+                if h < k and (drain is None or due[h] < drain):
+                    drain = due[h]
+            if turn is None:
+                clock = drain + 1e-9
                 continue
-            due, _, s = min(ready)
-            n, d, b = todo[s].popleft()
-            out.append((p[group].iloc[0], s, n, clock, clock >= d))
-            held[s].append((d, b))
-            used[s] += b
-            clock += b / rate
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=[group, stream, order, "sent", "late"])
-
-    return df.select(group, stream, order, dts, size).groupBy(group).applyInPandas(run, schema)
+            k = todo[turn]
+            rows.append(k)
+            sent.append(clock)
+            late.append(clock >= first)
+            todo[turn] = k + 1
+            used[turn] += sizes[k]
+            clock += sizes[k] / rate
+        out = t.select([group, stream, order]).take(pa.array(rows, pa.int64()))
+        return out.append_column("sent", pa.array(sent, pa.float64())).append_column("late", pa.array(late, pa.bool_()))
+
+    return df.select(group, stream, order, dts, size).groupBy(group).applyInArrow(run, schema)

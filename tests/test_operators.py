@@ -378,6 +378,18 @@ def test_deadline_order_of_ties(spark):
         assert [tuple(r) for r in got] == [(2.0, 0), (5.0, 2), (3.0, 7), (4.0, 10)]
 
 
+def test_schedule_of_ties(spark):
+    from framewright.operators import mux
+
+    units = [("m", "a", 5.0, 7, 30.0), ("m", "a", 5.0, 7, 60.0), ("m", "b", 5.0, 1, 50.0), ("m", None, 1.0, 1, 90.0), ("n", "a", 2.0, 1, 10.0)]
+    for rows in (units, units[::-1]):
+        df = spark.createDataFrame(rows, "g string, s string, dts double, n long, size double").coalesce(1)
+        got = [tuple(r) for r in mux.schedule(df, "g", "s", "dts", "size", 10.0, 80, "n").collect()]
+        assert [r for r in got if r[0] == "n"] == [("n", "a", 1, -6.0, False)]
+        # the smaller of the two first; the larger waits until that has left the buffer
+        assert [r for r in got if r[0] == "m"] == [("m", None, 1, -7.0, False), ("m", "a", 7, 2.0, False), ("m", "b", 1, 5.0, True), ("m", "a", 7, 10.0, True)]
+
+
 def test_underruns_and_release(spark):
     from framewright.operators import mux
 
