@@ -368,6 +368,26 @@ def test_nearest_sketch(spark):
     assert not rate.nearest_sketch(df.limit(0), "v", 3).collect()
 
 
+def test_sketches_whatever_the_order_of_values(spark):
+    """Means that lie on a half: sums of doubles as they come go under or over it."""
+    values = [0.1, 0.2, 0.3, 0.7, 1e-9, 412.37, 0.01, 0.02]
+    means = lambda d: [r.mean for r in d.orderBy("bucket").collect()]
+    for xs in (values, values[::-1], sorted(values, reverse=True), sorted(values)):
+        df = spark.createDataFrame([(v,) for v in xs], "v double").coalesce(1)
+        assert means(rate.sketch(df, "v", 1)) == means(rate.nearest_sketch(df, "v", 1, cells=1)) == [413.700000001 / 8]
+    odd = spark.createDataFrame([(1e300,), (2.0,), (None,)], "v double").coalesce(1)
+    assert means(rate.sketch(odd, "v", 1)) == [5e299]
+    assert means(rate.sketch(spark.createDataFrame([(None,)], "v double"), "v", 1)) == [None]
+
+
+def test_means_on_a_half_round_up(spark, tmp_path):
+    from framewright.plans import catalog
+
+    spark.createDataFrame([("a", 589.46125), ("b", 2.00005)], "event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("bucket_sketch", "nearest_buckets"):
+        assert sorted((r.event_type, r["mean"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [("a", 5894613), ("b", 20001)]
+
+
 def test_deadline_order_of_ties(spark):
     from framewright.operators import mux
 
